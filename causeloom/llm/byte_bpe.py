@@ -25,7 +25,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,18 +91,44 @@ class ByteBpe:
         return known
 
     def extend(self, data: bytes, last: list[int], stop: int | None = None) -> list[int]:
-        """Fill ``last`` (the valid last token of each prefix, by its end) up to ``stop``."""
-        ranks, longest, compatible = self.ranks, self.longest, self.compatible
+        """Fill ``last`` (the valid last token of each prefix, by its end) up to ``stop``.
+
+        Tokens that are compatible as a pair are sound, so soundness is asked only
+        of a token that covers its whole prefix.
+        """
+        rank, longest, pairs = self.ranks.get, self.longest, self._pairs
         for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = ranks.get(data[begin:end])
-                if token is not None and self.sound(token) and (begin == 0 or compatible(last[begin - 1], token)):
-                    last.append(token)
-                    break
+            token = rank(data[:end]) if end <= longest else None
+            if token is not None and self.sound(token):
+                last.append(token)
+                continue
+            for begin in range(max(1, end - longest), end):
+                token = rank(data[begin:end])
+                if token is not None:
+                    fits = pairs.get((last[begin - 1], token))
+                    if fits or fits is None and self.compatible(last[begin - 1], token):
+                        last.append(token)
+                        break
             else:
                 raise ValueError("the vocabulary lacks a single byte")
         return last
 
+    def encode_sorted(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
+        """Encode sorted pieces; each starts from the table of the prefix it shares with the one before."""
+        out, before, last = {}, b"", []
+        for piece in pieces:
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[piece] = [whole]
+                continue
+            shared, most = 0, min(len(before), len(piece))
+            while shared < most and before[shared] == piece[shared]:
+                shared += 1
+            del last[shared:]
+            out[piece] = self.walk(self.extend(piece, last))
+            before = piece
+        return out
+
     def walk(self, last: list[int]) -> list[int]:
         """Tokens of the prefix that ``last`` covers."""
         out, end = [], len(last)
@@ -191,7 +219,8 @@ class TextEncoder:
     """Encodes whole texts through a bounded memo of words.
 
     A space before a non-space character always begins a piece and no piece goes
-    beyond it, so a text may be cut there and its words encoded one by one.
+    beyond it, so a text may be cut there and its words encoded one by one.  The
+    unseen words of some texts are encoded together, sorted.
     """
 
     def __init__(self, bpe: ByteBpe, memo: int = MEMO):
@@ -199,14 +228,37 @@ class TextEncoder:
         self.kind = np.dtype("<u2" if max(bpe.bytes_of, default=0) < 1 << 16 else "<u4")
         self.words = Generations(lambda word: np.array(bpe.encode(word), self.kind).tobytes(), memo)
 
-    def encode(self, text: str) -> np.ndarray:
+    @staticmethod
+    def cut(text: str) -> list[str]:
         if not text:
-            return np.empty(0, self.kind)
+            return []
         first, *rest = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+        words = [" " + r for r in rest]
+        return [first, *words] if first else words
+
+    def prepare(self, texts: list[list[str]]) -> None:
+        memo, split = self.words, self.bpe.pattern.findall
+        unseen = [w for w in set().union(*texts) if w not in memo]
+        memo.make_room(len(unseen))
+        fresh = {}
+        for word in unseen:
+            value = memo.old.get(word)
+            if value is None:
+                fresh[word] = [piece.encode() for piece in split(word)]
+            else:
+                memo[word] = value
+        code = "H" if self.kind.itemsize == 2 else "I"
+        encoded = self.bpe.encode_sorted(sorted(set(chain.from_iterable(fresh.values()))))
+        packed = {piece: array(code, ids).tobytes() for piece, ids in encoded.items()}
+        for word, pieces in fresh.items():
+            memo[word] = packed[pieces[0]] if len(pieces) == 1 else b"".join([packed[p] for p in pieces])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = [self.cut(t) for t in texts]
+        self.prepare(cut)
         words = self.words
-        packed = [words[first]] if first else []
-        packed += [words[w] for w in [" " + r for r in rest]]
-        return np.frombuffer(b"".join(packed), self.kind)
+        return [np.frombuffer(b"".join([words[w] for w in c]), self.kind) for c in cut]
 
 
 _loaded: dict[tuple[str, str], TextEncoder] = {}
@@ -260,9 +312,8 @@ def tokenize(
     def one(coder, spelled, batch):
         out: dict[str, list] = {n: [] for n in names}
         found = []
-        for text in batch.column(len(keep)).to_pylist():
-            text = text or ""
-            tokens = coder.encode(text)
+        texts = [text or "" for text in batch.column(len(keep)).to_pylist()]
+        for text, tokens in zip(texts, coder.encode(texts)):
             listed = tokens.tolist()
             decoded = coder.bpe.decode(listed)
             out["n_tokens"].append(len(listed))

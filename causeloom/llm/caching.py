@@ -25,3 +25,9 @@ class Generations(dict):
             self.clear()
         self[key] = value
         return value
+
+    def make_room(self, coming: int) -> None:
+        """Age the young generation if ``coming`` further values don't fit it."""
+        if len(self) + coming > self.limit:
+            self.old = dict(self)
+            self.clear()

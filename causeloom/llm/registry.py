@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, token_blocks, url_filter
+from . import byte_bpe, exact_dedup, language_id, secret_scan, token_blocks, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe.query,
         "op3_exact_dedup": exact_dedup.query,
+        "op5_secret_scan": secret_scan.query,
         "op6_url_filter": url_filter.query,
+        "op9_language_id": language_id.query,
         "op10_token_blocks": token_blocks.query,
     }
 

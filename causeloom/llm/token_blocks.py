@@ -54,6 +54,7 @@ END_ID = 1
 #: Words memoised by one worker, in each of two generations.
 MEMO = 300_000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 _SPEC = "part int, first long, n_ids long, doc_ids array<{kind}>, lengths array<long>, segment binary"
 
 
@@ -155,7 +156,10 @@ class WordEncoder:
     """The tokenizers library behind a bounded memo of words.
 
     The library's own splitting never lets a token span white space, so texts are
-    cut there and only unseen words reach it.  Texts with one of the four
+    cut there and only unseen words reach it.  Of those, a Latin word with
+    punctuation behind it is split once more, as the library does, and its letters
+    are looked up in lower case; unseen ones are encoded many to a call, and told
+    apart by the vocabulary's end-of-word mark.  Texts with one of the four
     characters on which Python and the library disagree about white space are
     encoded whole.
     """
@@ -166,26 +170,49 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.words = Generations(self._one, memo)
+        self.bases = Generations(self._one, memo)
+        vocabulary = self.library.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
 
     def _one(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _many(self, words: list[str]) -> None:
+        """Encode lower-case words of letters, each of which is one word to the library."""
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = (np.nonzero(self.closes[ids])[0] + 1).tolist()
+            if len(stops) != len(some):
+                continue  # left to be encoded one by one
+            packed, begin = ids.tobytes(), 0
+            for word, stop in zip(some, stops):
+                self.bases[word] = packed[4 * begin : 4 * stop]
+                begin = stop
+
     def prepare(self, texts: list[list[str]]) -> None:
         """Encode the unseen words of some texts at once."""
-        memo = self.words
+        memo, bases = self.words, self.bases
         unseen = [w for w in set().union(*texts) if w not in memo]
-        if len(memo) + len(unseen) > memo.limit:
-            memo.old = dict(memo)
-            memo.clear()
-        fresh = []
+        memo.make_room(len(unseen))
+        simple, odd, old, match = [], [], memo.old, _SIMPLE.fullmatch
         for w in unseen:
-            value = memo.old.get(w)
-            if value is None:
-                fresh.append(w)
+            if w in old:
+                memo[w] = old[w]
+            elif (m := match(w)) is not None:
+                simple.append((w, *m.groups()))
             else:
-                memo[w] = value
-        for w, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False) if fresh else ()):
+                odd.append(w)
+        fresh = {b.lower() for _, b, _ in simple}
+        fresh = [b for b in fresh if b not in bases and b not in bases.old]
+        bases.make_room(len(fresh))
+        self._many(fresh)
+        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False) if odd else ()):
             memo[w] = np.array(e.ids, "<u4").tobytes()
+        for w, base, rest in simple:
+            value = bases[base.lower()]
+            memo[w] = value + memo[rest] if rest else value
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """The little-endian unsigned 32-bit ids of each text, ``end`` appended."""

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, secret_scan, token_blocks, url_filter
+from . import (
+    byte_bpe, decontaminate, exact_dedup, language_id, pseudonyms, secret_scan, token_blocks, url_filter,
+)
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe.query,
         "op3_exact_dedup": exact_dedup.query,
+        "op4_pseudonyms": pseudonyms.query,
         "op5_secret_scan": secret_scan.query,
         "op6_url_filter": url_filter.query,
+        "op8_decontaminate": decontaminate.query,
         "op9_language_id": language_id.query,
         "op10_token_blocks": token_blocks.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op6_url_filter": url_filter.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op6_url_filter": url_filter.SQL, "op8_decontaminate": decontaminate.SQL}

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from . import (
-    byte_bpe, decontaminate, exact_dedup, language_id, pseudonyms, secret_scan, token_blocks, url_filter,
+    byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, pseudonyms, secret_scan, token_blocks, url_filter,
 )
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe.query,
+        "op2_jaccard_join": jaccard_join.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_pseudonyms": pseudonyms.query,
         "op5_secret_scan": secret_scan.query,

@@ -10,22 +10,26 @@ Method
    last: the most frequent tokens, counted over all texts, are demoted.  The list of
    demoted tokens has at most ``MAX_DEMOTED`` entries, whatever the input, and is
    broadcast; any order gives the same links, a better one opens fewer groups.
-2. A set of n tokens has a *prefix* of its first ``n - ceil(0.75 n) + 1`` tokens; two
-   sets that link share a prefix token.
-3. Groups.  Classes with the same first token are similar and form a group, cut
-   into groups of at most ``GROUP`` members; every such part also gets the group's
+2. A set of n tokens has a *prefix* of its first ``ceil(0.4 n)`` tokens.  Of two sets
+   that link, the larger with n tokens, at most 0.6 n common tokens can lie behind
+   a prefix, so at least ``0.75 n - 0.6 n = 0.15 n`` lie in both prefixes.  A class
+   whose prefix has fewer tokens that other classes also have links with nothing.
+3. Groups.  Classes with the same smallest shared token are similar and form a
+   group, cut into parts of about ``GROUP`` members; every part also gets the group's
    smallest class as a member, which ties the parts together.
 4. Matrix.  Each group's column is the union of its members' prefix tokens.  A class
-   and a group qualify for each other when the class's prefix meets the column and
-   the sizes allow a link (the least and the greatest size of the group bound it).
+   and a group qualify for each other when at least 0.15 n tokens of the class's
+   prefix are in the column and the sizes allow a link (the least and the greatest
+   size of the group bound it).
 5. Only qualifying groups are opened.  First every group is compared within itself
    and the links found are contracted to components; then a class is compared with
    another group only if that holds a member of another component.  Inside a group
    the overlap with the union of the members' tokens bounds the overlap with each.
 
 Everything that travels is packed: prefix tokens as byte strings for each bucket of
-tokens, sets as byte strings; text is read twice, and only texts of classes that
-qualify anywhere are read the second time.  A frequent token meets its own bucket
+tokens, sets as byte strings.  Nothing of the size of the texts is kept: they are read once
+for each of counts, signatures and prefixes, and once more for the sets of the
+classes that have enough shared tokens.  A frequent token meets its own bucket
 with at most one entry for each class and map task.
 
 Defined results: a text with no word has an empty set and links with nothing; null
@@ -53,13 +57,21 @@ LEAST, MOST = 75, 100
 #: Members of a group at most (and one tie).
 GROUP = 64
 #: Tokens that are demoted at most, and the count from which a token may be.
-MAX_DEMOTED = 200_000
-FREQUENT = 32
+MAX_DEMOTED = 1_000_000
+FREQUENT = 8
+#: Ids of texts to be read again that are broadcast at most (8 bytes each); more are joined by shuffling.
+BROADCAST_IDS = 2_000_000
+_PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 _ONE, _TWO = np.uint64(0xA5A5A5A55A5A5A5A), np.uint64(0x3C6EF372FE94F82B)
 
 
 def prefix_size(n: int) -> int:
-    return n - -(-n * LEAST // MOST) + 1
+    return -(-n * 2 // 5)
+
+
+def enough(count, n):
+    """Whether so many common prefix tokens allow a link of a set of n tokens."""
+    return count * 20 >= n * 3
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -137,84 +149,108 @@ def _ordered(tokens: np.ndarray, demoted: np.ndarray) -> np.ndarray:
     return np.concatenate([tokens[~late], tokens[late]])
 
 
-def members(docs: DataFrame, demoted, id_col: str, text_col: str) -> DataFrame:
-    """Staged (id, n, sig, prefix): one row for each text."""
+def members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Staged (id, n, sig): one row for each text."""
 
     def run(batches):
-        late = demoted.value
         for batch in batches:
-            n, sig, prefix = [], [], []
+            n, sig = [], []
             for s in _sets(batch, 1):
                 n.append(len(s))
                 sig.append(signature(s))
-                prefix.append(_ordered(s, late)[: prefix_size(len(s))].tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary())],
-                names=["id", "n", "sig", "prefix"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return stage(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, sig binary, prefix binary"), "members")
+    return stage(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, sig binary"), "members")
 
 
-def shared_tokens(classes: DataFrame, buckets: int) -> DataFrame:
-    """(token, sig, n, first): prefix tokens that more than one class has; each class's first prefix token."""
+def shared_tokens(docs: DataFrame, demoted, text_col: str, buckets: int) -> DataFrame:
+    """(token, sig, n): prefix tokens that more than one class has."""
 
     def send(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                tokens = [np.frombuffer(p, "<u8") for p in part.column(2).to_pylist()]
-                local = np.repeat(np.arange(len(tokens), dtype="<u2"), [len(t) for t in tokens])
-                rows = list(_packets(np.concatenate(tokens), local, buckets)) if tokens else []
-                own = b"".join(part.column(0).to_pylist())
-                sizes = np.array(part.column(1).to_pylist(), "<u4")
-                first = np.array([t[0] for t in tokens], "<u8")
-                out = []
-                for bucket, t, o in rows:
-                    used, again = np.unique(np.frombuffer(o, "<u2"), return_inverse=True)
-                    sig = np.frombuffer(own, np.uint8).reshape(-1, 16)
-                    out.append((bucket, t, again.astype("<u2").tobytes(), sig[used].tobytes(), sizes[used].tobytes(), first[used].tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in out], pa.int32())] + [pa.array([r[k] for r in out], pa.binary()) for k in range(1, 6)],
-                    names=["bucket", "tokens", "local", "sigs", "sizes", "firsts"],
-                )
+                own: dict[bytes, np.ndarray] = {}  # copies are sent once
+                for s in _sets(batch.slice(at, 2048), 0):
+                    if len(s):
+                        own.setdefault(signature(s), s)
+                if own:
+                    yield pack(own)
+
+    def pack(own):
+        late = demoted.value
+        tokens = [_ordered(s, late)[: prefix_size(len(s))] for s in own.values()]
+        local = np.repeat(np.arange(len(tokens), dtype="<u2"), [len(t) for t in tokens])
+        sig = np.frombuffer(b"".join(own), np.uint8).reshape(-1, 16)
+        sizes = np.array([len(s) for s in own.values()], "<u4")
+        out = []
+        for bucket, t, o in _packets(np.concatenate(tokens), local, buckets):
+            used, again = np.unique(np.frombuffer(o, "<u2"), return_inverse=True)
+            out.append((bucket, t, again.astype("<u2").tobytes(), sig[used].tobytes(), sizes[used].tobytes()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in out], pa.int32())] + [pa.array([r[k] for r in out], pa.binary()) for k in range(1, 5)],
+            names=["bucket", "tokens", "local", "sigs", "sizes"],
+        )
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, owner, sigs, sizes, firsts, base = [], [], [], [], [], 0
-        for t, o, s, z, f in zip(rows.tokens, rows.local, rows.sigs, rows.sizes, rows.firsts):
+        tokens, owner, sigs, sizes, base = [], [], [], [], 0
+        for t, o, s, z in zip(rows.tokens, rows.local, rows.sigs, rows.sizes):
             tokens.append(np.frombuffer(t, "<u8"))
             owner.append(np.frombuffer(o, "<u2").astype(np.int64) + base)
             sigs.append(np.frombuffer(s, np.uint8).reshape(-1, 16))
             sizes.append(np.frombuffer(z, "<u4"))
-            firsts.append(np.frombuffer(f, "<u8"))
             base += len(sigs[-1])
         tokens, owner = np.concatenate(tokens), np.concatenate(owner)
-        sigs, sizes, firsts = np.concatenate(sigs), np.concatenate(sizes), np.concatenate(firsts)
-        order = np.argsort(tokens, kind="stable")
+        sigs, sizes = np.concatenate(sigs), np.concatenate(sizes)
+        _, first, class_of = np.unique(np.ascontiguousarray(sigs).view(_PAIR).ravel(), return_index=True, return_inverse=True)
+        owner = first[class_of][owner]  # one owner for each class
+        order = np.lexsort((owner, tokens))
         tokens, owner = tokens[order], owner[order]
+        new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])
+        tokens, owner = tokens[new], owner[new]
         same = tokens[1:] == tokens[:-1]
         kept = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         tokens, owner = tokens[kept], owner[kept]
         return pd.DataFrame({
             "token": tokens.view(np.int64), "sig": [sigs[k].tobytes() for k in owner], "n": sizes[owner].astype(np.int64),
-            "first": firsts[owner].view(np.int64),
         })
 
     return (
-        classes.select("sig", "n", "prefix").mapInArrow(send, "bucket int, tokens binary, local binary, sigs binary, sizes binary, firsts binary")
-        .groupBy("bucket").applyInPandas(meet, "token long, sig binary, n long, first long")
+        docs.select(text_col).mapInArrow(send, "bucket int, tokens binary, local binary, sigs binary, sizes binary")
+        .groupBy("bucket").applyInPandas(meet, "token long, sig binary, n long")
     )
 
 
-def _links_within(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links inside an opened group: ``home`` members among each other, and visitors with home members."""
+def _open(groups: DataFrame, piles: int) -> DataFrame:
+    """Links (a, b) inside the groups of (grp, sig, tokens, home); many groups share a call."""
+    pile = F.pmod(F.xxhash64("grp"), F.lit(piles))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [l for _, group in rows.groupby("grp", sort=False) if len(group) > 1 for l in _links_within(group)]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return groups.withColumn("pile", pile).groupBy("pile").applyInPandas(run, "a binary, b binary")
+
+
+def _links_within(rows: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+    """Links inside an opened group, of ``home`` members among each other and of visitors with them.
+
+    What is linked already is not linked again: as many links come out as tie the
+    group's members, not all pairs.
+    """
     rows = rows.drop_duplicates("sig")
     sets = [np.frombuffer(t, "<u8") for t in rows.tokens]
     home, sig = rows.home.to_numpy(), rows.sig.tolist()
     sizes = np.array([len(s) for s in sets])
     hosts = np.nonzero(home)[0]
-    found = []
+    found, parent = [], list(range(len(sets)))
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
     if len(hosts) and len(sets) > 1:
         union = np.unique(np.concatenate([sets[k] for k in hosts]))  # the group's row of the matrix
         matrix = np.zeros((len(hosts), len(union)), np.float32)
@@ -230,9 +266,11 @@ def _links_within(rows: pd.DataFrame) -> pd.DataFrame:
             meets = MOST * both >= LEAST * (sizes[hosts] + sizes[q] - both)
             for i in np.nonzero(meets)[0]:
                 k = hosts[i]
-                if k != q and not (home[q] and k < q):
+                x, y = root(q), root(int(k))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
                     found.append((sig[q], sig[k]))
-    return pd.DataFrame(found, columns=["a", "b"])
+    return found
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,28 +278,29 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8) * 4
     demoted = spark.sparkContext.broadcast(frequent_tokens(docs, text_col, buckets))
-    member = members(docs, demoted, id_col, text_col)
+    member = members(docs, id_col, text_col)
     lowest = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("low")
-    classes = member.where("n > 0").groupBy("sig").agg(lowest, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = stage(classes.select("sig", "n", "prefix", F.col("low.id").alias("low_id")), "classes")
-    shared = stage(shared_tokens(classes, buckets), "shared-tokens")
+    classes = member.where("n > 0").groupBy("sig").agg(lowest, F.first("n").alias("n"))
+    classes = stage(classes.select("sig", "n", F.col("low.id").alias("low_id")), "classes")
+    shared = stage(shared_tokens(docs, demoted, text_col, buckets // 4), "shared-tokens")
 
-    # groups: classes of one first token, in parts of at most GROUP, tied by the smallest class
-    active = shared.select("sig", "n", "first").distinct()
+    # groups: classes of one smallest shared token, in parts, tied by the smallest class
+    active = shared.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("hits"), F.min("token").alias("first")).where(enough(F.col("hits"), F.col("n")))
+    active = stage(active.select("sig", "n", "first"), "active")
     crowd = active.groupBy("first").agg(F.count(F.lit(1)).alias("crowd"), F.min("sig").alias("tie"))
     placed = active.join(crowd, "first").withColumn(
-        "part", F.pmod(F.xxhash64("sig"), F.ceil(F.col("crowd") / (GROUP // 2)).cast("long"))
+        "part", F.pmod(F.xxhash64("sig"), F.ceil(F.col("crowd") / GROUP).cast("long"))
     ).withColumn("grp", F.xxhash64("first", "part"))
     placed = stage(placed.select("sig", "n", "grp", "tie", "crowd"), "groups")
 
-    # sets of the classes that share a prefix token with another, read from their texts once more
+    # sets of these classes, read from their texts once more
     needed = placed.select("sig").join(classes.select("sig", "low_id"), "sig")
     sets = stage(_sets_of(docs, needed, id_col, text_col), "sets")
 
-    ties = placed.where(f"crowd > {GROUP // 2}").select("grp", F.col("tie").alias("sig")).distinct()
-    homes = placed.select("grp", "sig").union(ties).distinct().withColumn("home", F.lit(True))
+    ties = placed.where(f"crowd > {GROUP}").select("grp", F.col("tie").alias("sig")).distinct()
+    homes = placed.where("crowd > 1").select("grp", "sig").union(ties).distinct().withColumn("home", F.lit(True))
     opened = homes.join(sets, "sig").select("grp", "sig", "tokens", "home")
-    inner = stage(opened.groupBy("grp").applyInPandas(_links_within, "a binary, b binary"), "inner-links")
+    inner = stage(_open(opened, buckets), "inner-links")
     so_far = components(inner)
     named = placed.join(so_far, F.col("sig") == F.col("node"), "left").select("sig", "n", "grp", F.coalesce("root", "sig").alias("root"))
     named = stage(named, "named-groups")
@@ -275,13 +314,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     qualify = (
         held.withColumnRenamed("grp", "own").join(column, "token")
         .where((F.col("own") < F.col("grp")) & fits & ((F.col("r1") != F.col("root")) | (F.col("r2") != F.col("root"))))
-        .select("sig", "grp").distinct()
+        .groupBy("sig", "grp").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
+        .where(enough(F.col("hits"), F.col("n"))).select("sig", "grp")
     )
     visits = stage(qualify, "qualifying")
     called = visits.select("grp").distinct()
     guests = visits.withColumn("home", F.lit(False)).join(sets, "sig").select("grp", "sig", "tokens", "home")
     hosts = placed.join(called, "grp", "left_semi").select("grp", "sig").join(sets, "sig").select("grp", "sig", "tokens", F.lit(True).alias("home"))
-    outer = guests.union(hosts).groupBy("grp").applyInPandas(_links_within, "a binary, b binary")
+    outer = _open(guests.union(hosts), buckets)
     linked = components(inner.union(outer))
     every = linked.union(linked.select("root", "root").distinct()).join(classes.select("sig", "low_id"), F.col("node") == F.col("sig"))
     lowest = every.groupBy("root").agg(F.min("low_id").alias("component"))
@@ -304,7 +344,8 @@ def _sets_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) ->
                 tokens.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(tokens, pa.binary())], names=["sig", "tokens"])
 
-    ids = needed.select(F.col("low_id").alias("__id")).distinct()
+    ids = stage(needed.select(F.col("low_id").alias("__id")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(ids, docs[id_col].eqNullSafe(F.col("__id")), "left_semi").select(text_col)
     read = texts.mapInArrow(run, "sig binary, tokens binary")
     return read.join(needed.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])

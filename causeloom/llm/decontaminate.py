@@ -100,12 +100,12 @@ def phrase_matches(postings: DataFrame, found: DataFrame, numbered: DataFrame, s
     shapes = ordered.groupBy(F.transform("order", lambda o: F.struct(o["term"], o["offset"])).alias("need")).agg(
         F.min("phrase").alias("shape"), F.first("size").alias("size")
     )
-    first = shapes.select("shape", "size", "need", F.col("need")[0]["term"].alias("term"), F.col("need")[0]["offset"].alias("off"))
+    first = shapes.select("shape", "size", "need", F.get("need", F.lit(0))["term"].alias("term"), F.get("need", F.lit(0))["offset"].alias("off"))
     held = lists.join(first, "term").select("row", "id", (F.col("pos") - F.col("off")).alias("start"), "shape", "size", "need")
     held = held.where("start >= 0")
     for k in range(1, steps):
-        want = held.where(F.size("need") > k).select("*", F.col("need")[k]["term"].alias("term"), (F.col("start") + F.col("need")[k]["offset"]).alias("pos"))
-        kth = shapes.where(F.size("need") > k).select(F.col("need")[k]["term"].alias("term")).distinct()
+        want = held.where(F.size("need") > k).select("*", F.get("need", F.lit(k))["term"].alias("term"), (F.col("start") + F.get("need", F.lit(k))["offset"]).alias("pos"))
+        kth = shapes.where(F.size("need") > k).select(F.get("need", F.lit(k))["term"].alias("term")).distinct()
         some = lists.join(kth, "term", "left_semi").select("row", "term", "pos")
         met = want.join(some, ["row", "term", "pos"], "left_semi").drop("term", "pos")
         held = met.unionByName(held.where(F.size("need") <= k))
@@ -144,14 +144,14 @@ def proximity_matches(postings: DataFrame, items: DataFrame, numbered: DataFrame
         .where(F.size("r") == terms).select("item", F.transform("r", lambda x: x["term"]).alias("r"))
     )
     lists = postings.where("term >= 0")
-    held = lists.join(rare.select("item", "r", F.col("r")[0].alias("term")), "term").select(
+    held = lists.join(rare.select("item", "r", F.get("r", F.lit(0)).alias("term")), "term").select(
         "row", "id", "item", "r", F.col("pos").alias("anchor"), F.col("pos").alias("start"), F.col("pos").alias("stop")
     )
     for k in range(1, terms):
-        kth = lists.join(rare.select(F.col("r")[k].alias("term")).distinct(), "term", "left_semi").select(
+        kth = lists.join(rare.select(F.get("r", F.lit(k)).alias("term")).distinct(), "term", "left_semi").select(
             "row", "term", "pos", F.explode(F.array(*[F.floor(F.col("pos") / within) + d for d in (-1, 0, 1)])).alias("block")
         )
-        want = held.select("*", F.col("r")[k].alias("term"), F.floor(F.col("anchor") / within).alias("block"))
+        want = held.select("*", F.get("r", F.lit(k)).alias("term"), F.floor(F.col("anchor") / within).alias("block"))
         met = want.join(kth, ["row", "term", "block"]).where(F.abs(F.col("pos") - F.col("anchor")) < within)
         nearest = met.groupBy("row", "id", "item", "r", "anchor", "start", "stop").agg(
             F.min_by("pos", F.struct(F.abs(F.col("pos") - F.col("anchor")), F.col("pos"))).alias("pos")

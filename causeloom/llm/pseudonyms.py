@@ -116,7 +116,7 @@ def _refill(shape: Column, digits: Column) -> Column:
 
 
 def permuted_ip(key: Column, ip: Column) -> Column:
-    o = [F.element_at(F.split(ip, r"\."), k).cast("long") for k in range(1, 5)]
+    o = [F.get(F.split(ip, r"\."), F.lit(k)).cast("long") for k in range(4)]
     done = permute(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536))
     return _nest(done, lambda s: F.concat_ws(
         ".", F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256
@@ -125,8 +125,8 @@ def permuted_ip(key: Column, ip: Column) -> Column:
 
 def _date_of(m: Column) -> Column:
     part = F.split(m, "[-./]")
-    first = F.length(part[0]) == 4
-    text = F.concat_ws("-", F.when(first, part[0]).otherwise(part[2]), F.lpad(part[1], 2, "0"), F.lpad(F.when(first, part[2]).otherwise(part[0]), 2, "0"))
+    first = F.length(F.get(part, F.lit(0))) == 4
+    text = F.concat_ws("-", F.when(first, F.get(part, F.lit(0))).otherwise(F.get(part, F.lit(2))), F.lpad(F.get(part, F.lit(1)), 2, "0"), F.lpad(F.when(first, F.get(part, F.lit(2))).otherwise(F.get(part, F.lit(0))), 2, "0"))
     day = F.try_to_date(text, "yyyy-MM-dd")
     return F.when((F.year(day) >= 1900) & (F.year(day) <= 2099), day)
 

@@ -8,7 +8,10 @@ from . import (
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_byte_bpe": byte_bpe.query,
         "op2_jaccard_join": jaccard_join.query,
         "op3_exact_dedup": exact_dedup.query,

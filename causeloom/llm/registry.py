@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from . import (
-    byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, pseudonyms, secret_scan, token_blocks, url_filter,
+    byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, pseudonyms, secret_scan, substring_dedup, token_blocks,
+    url_filter,
 )
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op4_pseudonyms": pseudonyms.query,
         "op5_secret_scan": secret_scan.query,
         "op6_url_filter": url_filter.query,
+        "op7_compact_windows": substring_dedup.query,
         "op8_decontaminate": decontaminate.query,
         "op9_language_id": language_id.query,
         "op10_token_blocks": token_blocks.query,

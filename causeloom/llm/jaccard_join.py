@@ -17,13 +17,15 @@ Method
 3. Groups.  Classes with the same smallest shared token are similar and form a
    group, cut into parts of about ``GROUP`` members; every part also gets the group's
    smallest class as a member, which ties the parts together.
-4. Matrix.  Each group's column is the union of its members' prefix tokens.  A class
-   and a group qualify for each other when at least 0.15 n tokens of the class's
-   prefix are in the column and the sizes allow a link (the least and the greatest
-   size of the group bound it).
+4. Matrix.  Each group's row is the union of its members' prefix tokens.  Two rows
+   qualify for each other when they share at least 0.15 n tokens, for the greater of
+   their least sizes n, and the least and greatest sizes allow a link.  A token meets
+   as many entries as there are rows with it, however many classes have it.
 5. Only qualifying groups are opened.  First every group is compared within itself
-   and the links found are contracted to components; then a class is compared with
-   another group only if that holds a member of another component.  Inside a group
+   and the links found are contracted to components.  A group is cut into rows by these
+   components; a class is then compared with another row only if that holds a member of
+   another component, and of two rows the smaller one's members visit the larger, so a
+   few strays among many copies do not call on all of them.  Inside a group
    the overlap with the union of the members' tokens bounds the overlap with each.
 
 Everything that travels is packed: prefix tokens as byte strings for each bucket of
@@ -45,7 +47,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -56,12 +58,15 @@ from .staging import stage
 LEAST, MOST = 75, 100
 #: Members of a group at most (and one tie).
 GROUP = 64
+#: Members of one component that make a row of the matrix of their own.
+ROW = 4
 #: Tokens that are demoted at most, and the count from which a token may be.
 MAX_DEMOTED = 1_000_000
 FREQUENT = 8
+#: Tokens that are counted together in a task.
+RUN = 1 << 22
 #: Ids of texts to be read again that are broadcast at most (8 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
-_PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 _ONE, _TWO = np.uint64(0xA5A5A5A55A5A5A5A), np.uint64(0x3C6EF372FE94F82B)
 
 
@@ -82,6 +87,11 @@ def signature(tokens: np.ndarray) -> bytes:
     return a.astype(">u8").tobytes() + b.astype(">u8").tobytes()
 
 
+def key_of(sig: bytes) -> int:
+    """A class's number: the first 64 bits of its signature."""
+    return int.from_bytes(sig[:8], "big", signed=True)
+
+
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
     for _, data, edges in texts_in(batch.column(column)):
         for tokens in shingles_of(data, edges, SIZE):
@@ -100,23 +110,28 @@ def _packets(tokens: np.ndarray, owners: np.ndarray, buckets: int):
 
 
 def frequent_tokens(docs: DataFrame, text_col: str, buckets: int, most: int = MAX_DEMOTED, least: int = FREQUENT) -> np.ndarray:
-    """Tokens that occur in more than ``least`` texts' lower two fifths, the most frequent ones."""
+    """Tokens that occur in more than ``least`` texts' lower two fifths, the most frequent ones.
+
+    Counted over all texts by lossy counting: a run of about ``RUN`` tokens in one task sends
+    those that it has more than once, so a count is too low by at most one for each run.
+    """
 
     def send(batches):
+        some: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            some: list[np.ndarray] = []
-            held = 0
             for s in _sets(batch, 0):
                 some.append(s[: -(-len(s) * 2 // 5)])
                 held += len(some[-1])
-                if held > 1 << 20:
+                if held > RUN:
                     yield pack(some)
                     some, held = [], 0
-            if some:
-                yield pack(some)
+        if some:
+            yield pack(some)
 
     def pack(some):
         tokens, counts = np.unique(np.concatenate(some), return_counts=True)
+        tokens, counts = tokens[counts > 1], counts[counts > 1]
         rows = list(_packets(tokens, counts.astype("<u4"), buckets))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
@@ -165,15 +180,15 @@ def members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_tokens(docs: DataFrame, demoted, text_col: str, buckets: int) -> DataFrame:
-    """(token, sig, n): prefix tokens that more than one class has."""
+    """(token, key): prefix tokens that more than one class has."""
 
     def send(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                own: dict[bytes, np.ndarray] = {}  # copies are sent once
+                own: dict[int, np.ndarray] = {}  # copies are sent once
                 for s in _sets(batch.slice(at, 2048), 0):
                     if len(s):
-                        own.setdefault(signature(s), s)
+                        own.setdefault(key_of(signature(s)), s)
                 if own:
                     yield pack(own)
 
@@ -181,66 +196,53 @@ def shared_tokens(docs: DataFrame, demoted, text_col: str, buckets: int) -> Data
         late = demoted.value
         tokens = [_ordered(s, late)[: prefix_size(len(s))] for s in own.values()]
         local = np.repeat(np.arange(len(tokens), dtype="<u2"), [len(t) for t in tokens])
-        sig = np.frombuffer(b"".join(own), np.uint8).reshape(-1, 16)
-        sizes = np.array([len(s) for s in own.values()], "<u4")
+        keys = np.array(list(own), "<i8")
         out = []
         for bucket, t, o in _packets(np.concatenate(tokens), local, buckets):
             used, again = np.unique(np.frombuffer(o, "<u2"), return_inverse=True)
-            out.append((bucket, t, again.astype("<u2").tobytes(), sig[used].tobytes(), sizes[used].tobytes()))
+            out.append((bucket, t, again.astype("<u2").tobytes(), keys[used].tobytes()))
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int32())] + [pa.array([r[k] for r in out], pa.binary()) for k in range(1, 5)],
-            names=["bucket", "tokens", "local", "sigs", "sizes"],
+            [pa.array([r[0] for r in out], pa.int32())] + [pa.array([r[k] for r in out], pa.binary()) for k in range(1, 4)],
+            names=["bucket", "tokens", "local", "keys"],
         )
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, owner, sigs, sizes, base = [], [], [], [], 0
-        for t, o, s, z in zip(rows.tokens, rows.local, rows.sigs, rows.sizes):
-            tokens.append(np.frombuffer(t, "<u8"))
-            owner.append(np.frombuffer(o, "<u2").astype(np.int64) + base)
-            sigs.append(np.frombuffer(s, np.uint8).reshape(-1, 16))
-            sizes.append(np.frombuffer(z, "<u4"))
-            base += len(sigs[-1])
-        tokens, owner = np.concatenate(tokens), np.concatenate(owner)
-        sigs, sizes = np.concatenate(sigs), np.concatenate(sizes)
-        _, first, class_of = np.unique(np.ascontiguousarray(sigs).view(_PAIR).ravel(), return_index=True, return_inverse=True)
-        owner = first[class_of][owner]  # one owner for each class
+        tokens = np.concatenate([np.frombuffer(t, "<u8") for t in rows.tokens])
+        owner = np.concatenate([np.frombuffer(k, "<i8")[np.frombuffer(o, "<u2")] for o, k in zip(rows.local, rows["keys"])])
         order = np.lexsort((owner, tokens))
         tokens, owner = tokens[order], owner[order]
         new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])
         tokens, owner = tokens[new], owner[new]
         same = tokens[1:] == tokens[:-1]
         kept = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        tokens, owner = tokens[kept], owner[kept]
-        return pd.DataFrame({
-            "token": tokens.view(np.int64), "sig": [sigs[k].tobytes() for k in owner], "n": sizes[owner].astype(np.int64),
-        })
+        return pd.DataFrame({"token": tokens[kept].view(np.int64), "key": owner[kept]})
 
     return (
-        docs.select(text_col).mapInArrow(send, "bucket int, tokens binary, local binary, sigs binary, sizes binary")
-        .groupBy("bucket").applyInPandas(meet, "token long, sig binary, n long")
+        docs.select(text_col).mapInArrow(send, "bucket int, tokens binary, local binary, keys binary")
+        .groupBy("bucket").applyInPandas(meet, "token long, key long")
     )
 
 
 def _open(groups: DataFrame, piles: int) -> DataFrame:
-    """Links (a, b) inside the groups of (grp, sig, tokens, home); many groups share a call."""
+    """Links (a, b) inside the groups of (grp, key, tokens, home); many groups share a call."""
     pile = F.pmod(F.xxhash64("grp"), F.lit(piles))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = [l for _, group in rows.groupby("grp", sort=False) if len(group) > 1 for l in _links_within(group)]
-        return pd.DataFrame(found, columns=["a", "b"])
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return groups.withColumn("pile", pile).groupBy("pile").applyInPandas(run, "a binary, b binary")
+    return groups.withColumn("pile", pile).groupBy("pile").applyInPandas(run, "a long, b long")
 
 
-def _links_within(rows: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+def _links_within(rows: pd.DataFrame) -> list[tuple[int, int]]:
     """Links inside an opened group, of ``home`` members among each other and of visitors with them.
 
     What is linked already is not linked again: as many links come out as tie the
     group's members, not all pairs.
     """
-    rows = rows.drop_duplicates("sig")
+    rows = rows.drop_duplicates("key")
     sets = [np.frombuffer(t, "<u8") for t in rows.tokens]
-    home, sig = rows.home.to_numpy(), rows.sig.tolist()
+    home, key = rows.home.to_numpy(), rows["key"].tolist()
     sizes = np.array([len(s) for s in sets])
     hosts = np.nonzero(home)[0]
     found, parent = [], list(range(len(sets)))
@@ -269,10 +271,24 @@ def _links_within(rows: pd.DataFrame) -> list[tuple[bytes, bytes]]:
                 x, y = root(q), root(int(k))
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-                    found.append((sig[q], sig[k]))
+                    found.append((key[q], key[k]))
     return found
 
 
+def _rows(placed: DataFrame, so_far: DataFrame) -> DataFrame:
+    """(key, n, row, size, root): groups cut into rows of the matrix by the components found inside them.
+
+    A component with ``ROW`` members of a group or more is a row of its own; the
+    others of the group share one.  A row within one component is never visited by that
+    component, and of two rows the smaller one's members visit the larger.
+    """
+    named = placed.join(so_far, F.col("key") == F.col("node"), "left").select("key", "n", "grp", F.coalesce("root", "key").alias("root"))
+    inside = Window.partitionBy("grp", "root")  # a group has at most some GROUP members
+    named = named.withColumn("own", F.when(F.count(F.lit(1)).over(inside) >= ROW, F.col("root")))
+    row = F.xxhash64("grp", "own")
+    return named.select("key", "n", row.alias("row"), F.count(F.lit(1)).over(Window.partitionBy("grp", "own")).alias("size"), "root")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): one row for each input row."""
     spark = docs.sparkSession
@@ -281,52 +297,56 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     member = members(docs, id_col, text_col)
     lowest = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("low")
     classes = member.where("n > 0").groupBy("sig").agg(lowest, F.first("n").alias("n"))
-    classes = stage(classes.select("sig", "n", F.col("low.id").alias("low_id")), "classes")
+    key = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long").alias("key")
+    classes = stage(classes.select("sig", key, "n", F.col("low.id").alias("low_id")), "classes")
     shared = stage(shared_tokens(docs, demoted, text_col, buckets // 4), "shared-tokens")
 
     # groups: classes of one smallest shared token, in parts, tied by the smallest class
-    active = shared.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("hits"), F.min("token").alias("first")).where(enough(F.col("hits"), F.col("n")))
-    active = stage(active.select("sig", "n", "first"), "active")
-    crowd = active.groupBy("first").agg(F.count(F.lit(1)).alias("crowd"), F.min("sig").alias("tie"))
+    active = shared.groupBy("key").agg(F.count(F.lit(1)).alias("hits"), F.min("token").alias("first"))
+    active = active.join(classes.select("key", "n"), "key").where(enough(F.col("hits"), F.col("n")))
+    active = stage(active.select("key", "n", "first"), "active")
+    crowd = active.groupBy("first").agg(F.count(F.lit(1)).alias("crowd"), F.min("key").alias("tie"))
     placed = active.join(crowd, "first").withColumn(
-        "part", F.pmod(F.xxhash64("sig"), F.ceil(F.col("crowd") / GROUP).cast("long"))
+        "part", F.pmod(F.xxhash64("key"), F.ceil(F.col("crowd") / GROUP).cast("long"))
     ).withColumn("grp", F.xxhash64("first", "part"))
-    placed = stage(placed.select("sig", "n", "grp", "tie", "crowd"), "groups")
+    placed = stage(placed.select("key", "n", "grp", "tie", "crowd"), "groups")
 
     # sets of these classes, read from their texts once more
-    needed = placed.select("sig").join(classes.select("sig", "low_id"), "sig")
+    needed = placed.select("key").join(classes.select("key", "low_id"), "key")
     sets = stage(_sets_of(docs, needed, id_col, text_col), "sets")
 
-    ties = placed.where(f"crowd > {GROUP}").select("grp", F.col("tie").alias("sig")).distinct()
-    homes = placed.where("crowd > 1").select("grp", "sig").union(ties).distinct().withColumn("home", F.lit(True))
-    opened = homes.join(sets, "sig").select("grp", "sig", "tokens", "home")
+    ties = placed.where(f"crowd > {GROUP}").select("grp", F.col("tie").alias("key")).distinct()
+    homes = placed.where("crowd > 1").select("grp", "key").union(ties).distinct().withColumn("home", F.lit(True))
+    opened = homes.join(sets, "key").select("grp", "key", "tokens", "home")
     inner = stage(_open(opened, buckets), "inner-links")
-    so_far = components(inner)
-    named = placed.join(so_far, F.col("sig") == F.col("node"), "left").select("sig", "n", "grp", F.coalesce("root", "sig").alias("root"))
-    named = stage(named, "named-groups")
-
-    # the matrix: token x group, with what bounds a link
-    held = shared.select("token", "sig").join(named, "sig")
-    column = held.groupBy("token", "grp").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("r1"), F.max("root").alias("r2")
+    named = stage(_rows(placed, components(inner)), "rows")
+
+    # the matrix: token x row, one entry however many members have the token
+    entries = shared.select("token", "key").join(named.select("key", "row"), "key").select("token", "row").distinct()
+    bounds = named.groupBy("row").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.first("size").alias("size")
     )
-    fits = (F.col("n") * MOST >= F.col("least") * LEAST) & (F.col("most") * MOST >= F.col("n") * LEAST)
-    qualify = (
-        held.withColumnRenamed("grp", "own").join(column, "token")
-        .where((F.col("own") < F.col("grp")) & fits & ((F.col("r1") != F.col("root")) | (F.col("r2") != F.col("root"))))
-        .groupBy("sig", "grp").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
-        .where(enough(F.col("hits"), F.col("n"))).select("sig", "grp")
+    entries = stage(entries.join(bounds, "row"), "matrix")
+    guest = entries.toDF(*[c if c == "token" else c + "_g" for c in entries.columns])
+    smaller = (F.col("size_g") < F.col("size")) | ((F.col("size_g") == F.col("size")) & (F.col("row_g") < F.col("row")))
+    fits = (F.col("most_g") * MOST >= F.col("least") * LEAST) & (F.col("most") * MOST >= F.col("least_g") * LEAST)
+    apart = ~((F.col("r1") == F.col("r2")) & (F.col("r1_g") == F.col("r2_g")) & (F.col("r1") == F.col("r1_g")))
+    calls = (
+        guest.join(entries, "token").where(smaller & fits & apart).groupBy("row_g", "row")
+        .agg(F.count(F.lit(1)).alias("hits"), F.greatest(F.first("least"), F.first("least_g")).alias("n"))
+        .where(enough(F.col("hits"), F.col("n"))).select("row_g", F.col("row").alias("grp"))
     )
-    visits = stage(qualify, "qualifying")
+    calls = stage(calls, "qualifying-rows")
+    visits = stage(calls.join(named.select(F.col("row").alias("row_g"), "key"), "row_g").select("key", "grp"), "qualifying")
     called = visits.select("grp").distinct()
-    guests = visits.withColumn("home", F.lit(False)).join(sets, "sig").select("grp", "sig", "tokens", "home")
-    hosts = placed.join(called, "grp", "left_semi").select("grp", "sig").join(sets, "sig").select("grp", "sig", "tokens", F.lit(True).alias("home"))
+    guests = visits.withColumn("home", F.lit(False)).join(sets, "key").select("grp", "key", "tokens", "home")
+    hosts = named.select(F.col("row").alias("grp"), "key").join(called, "grp", "left_semi").join(sets, "key").select("grp", "key", "tokens", F.lit(True).alias("home"))
     outer = _open(guests.union(hosts), buckets)
     linked = components(inner.union(outer))
-    every = linked.union(linked.select("root", "root").distinct()).join(classes.select("sig", "low_id"), F.col("node") == F.col("sig"))
+    every = linked.union(linked.select("root", "root").distinct()).join(classes.select("key", "low_id"), F.col("node") == F.col("key"))
     lowest = every.groupBy("root").agg(F.min("low_id").alias("component"))
-    owner = every.join(lowest, "root").select("sig", "component")
-    named = classes.join(owner, "sig", "left").select("sig", F.coalesce("component", "low_id").alias("component"))
+    owner = every.join(lowest, "root").select("key", "component")
+    named = classes.join(owner, "key", "left").select("sig", F.coalesce("component", "low_id").alias("component"))
     return (
         member.select("id", "n", "sig").join(named, "sig", "left")
         .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
@@ -334,21 +354,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _sets_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(sig, tokens): the sets of needed classes, from the text of each class's smallest id."""
+    """(key, tokens): the sets of needed classes, from the text of each class's smallest id."""
 
     def run(batches):
         for batch in batches:
-            sig, tokens = [], []
+            key, tokens = [], []
             for s in _sets(batch, 0):
-                sig.append(signature(s))
+                key.append(key_of(signature(s)))
                 tokens.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(tokens, pa.binary())], names=["sig", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(tokens, pa.binary())], names=["key", "tokens"])
 
     ids = stage(needed.select(F.col("low_id").alias("__id")).distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(ids, docs[id_col].eqNullSafe(F.col("__id")), "left_semi").select(text_col)
-    read = texts.mapInArrow(run, "sig binary, tokens binary")
-    return read.join(needed.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    read = texts.mapInArrow(run, "key long, tokens binary")
+    return read.join(needed.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ ROW = 4
 MAX_DEMOTED = 1_000_000
 FREQUENT = 8
 #: Tokens that are counted together in a task.
-RUN = 1 << 22
+RUN = 1 << 20
 #: Ids of texts to be read again that are broadcast at most (8 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 _ONE, _TWO = np.uint64(0xA5A5A5A55A5A5A5A), np.uint64(0x3C6EF372FE94F82B)

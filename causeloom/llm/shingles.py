@@ -16,7 +16,7 @@ import pyarrow as pa
 
 SIZE = 5
 #: Bytes of text that are worked on at once (a longer text is worked on alone).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)

@@ -253,6 +253,12 @@ class TextEncoder:
         for word, pieces in fresh.items():
             memo[word] = packed[pieces[0]] if len(pieces) == 1 else b"".join([packed[p] for p in pieces])
 
+    def forget(self) -> None:
+        """Give the memo's memory back, for what runs in this worker next."""
+        self.words.clear()
+        self.words.old = {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         cut = [self.cut(t) for t in texts]
@@ -305,9 +311,12 @@ def tokenize(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(*vocabulary)
         spelled = {i: str(i) for i in coder.bpe.bytes_of}
-        for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                yield from one(coder, spelled, batch.slice(part, 512))
+        try:
+            for batch in batches:
+                for part in range(0, batch.num_rows, 512):
+                    yield from one(coder, spelled, batch.slice(part, 512))
+        finally:
+            coder.forget()
 
     def one(coder, spelled, batch):
         out: dict[str, list] = {n: [] for n in names}

@@ -257,6 +257,7 @@ class TextEncoder:
         """Give the memo's memory back, for what runs in this worker next."""
         self.words.clear()
         self.words.old = {}
+        self.bpe._pairs.clear()
         pa.default_memory_pool().release_unused()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -5,9 +5,12 @@ permutation, so that equal values stay linked across documents and no two values
 fall together:
 
 * ``card``: 13 to 19 digits (single blanks or hyphens between them allowed) that
-  pass the Luhn test.  The digits before the check digit are permuted within their
+  pass the Luhn test; of numbers in a row one that passes alone counts, else the
+  longest row that passes, from each number on.  The digits before the check digit are permuted within their
   number and the check digit is computed anew; separators stay.
-* ``phone``: ``+`` and 8 to 15 digits with separators; all digits are permuted.
+* ``phone``: ``+`` and 8 to 15 digits with separators (11 after country code 1), up to
+  an address, date or grouped card that follows; all digits are permuted.  Another
+  number behind a phone can't be told from its end, except after country code 1.
 * ``ip``: four numbers up to 255; the 32 bits are permuted.
 * ``date``: a date that exists, 1900 to 2099, written ``y-m-d``, ``y/m/d``, ``d.m.y`` or
   ``d/m/y``; its day is permuted among the 73,049 days of these years.
@@ -40,8 +43,19 @@ KEY = "a key for tests only"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])"
-PHONE = r"(?<![0-9+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])"
-CARD = r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+# A value that a phone or card before it must not swallow.
+_OCTET, _DAY, _MONTH, _YEAR = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])", "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
+_OWN = (
+    rf"(?:{_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
+    rf"|(?:{_YEAR}(?:-{_MONTH}-|/{_MONTH}/){_DAY}|{_DAY}(?:\.{_MONTH}\.|/{_MONTH}/){_YEAR})(?![0-9]|[./-][0-9]))"
+)
+_GROUPED = r"(?:[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\4[0-9]{5})(?![0-9])"
+_NEXT = rf"(?:(?![ .()-]?[ ()]{_OWN})[ .()-]{{0,2}}[0-9])"
+_PLAIN = _NEXT.replace("(?![", rf"(?![ .()-]?[ ()]{_GROUPED})(?![", 1)
+#: Numbers of country code 1 have 11 digits.
+PHONE = rf"(?<![0-9+])(?:\+1{_NEXT}{{10}}(?![0-9])|\+[0-9]{_NEXT}{{7}}{_PLAIN}{{0,7}}(?![0-9]))"
+#: Numbers in a row, with 13 digits or more at its start; ``cards_in`` finds the cards among them.
+CARD = rf"(?<![0-9+])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]+(?:(?:-| (?!{_OWN}))[0-9]+)*"
 ANY = "|".join([EMAIL, IP, DATE, PHONE, CARD])
 KINDS = ["email", "ip", "date", "phone", "card"]
 _DAYS = (319, 229)  # 1900-01-01 to 2099-12-31
@@ -154,6 +168,39 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def cards_in(gap: Column, row: Column) -> Column:
+    """The cards of a row of numbers: from each number on itself or the longest that validates, then on behind it; the last entry is what follows."""
+    none = F.array().cast("array<struct<gap:string,m:string,kind:string>>")
+
+    def step(s, at):
+        def valid(digits):
+            return F.length(digits).between(13, 19) & luhn(digits)
+
+        def card(text):  # a later number that is a card by itself is none's end
+            own = F.regexp_extract(text, "[ -]([0-9]{13,})$", 1)
+            return _nest(F.regexp_replace(text, "[^0-9]", ""), lambda d: F.when(F.length(d).between(13, 19), luhn(d) & ~F.when(own != "", valid(own)).otherwise(False)).otherwise(False))
+
+        def longest(ahead):
+            first = F.length(F.regexp_extract(ahead, "^[0-9]+", 0))
+            ends = F.filter(F.sequence(F.lit(13), F.length(ahead)), lambda n: ahead.substr(n, F.lit(2)).rlike("^[0-9](?![0-9])"))
+            cards = F.filter(ends, lambda n: card(ahead.substr(F.lit(1), n)))
+            return _nest(cards, lambda c: F.when(F.array_contains(c, first), first).otherwise(F.array_max(c)))
+
+        def taken(n):
+            one = F.struct(row.substr(s["at"], at - s["at"]).alias("gap"), row.substr(at, n).alias("m"), F.lit("card").alias("kind"))
+            return F.when(n.isNull(), s).otherwise(F.struct((at + n).alias("at"), F.concat(s["out"], F.array(one)).alias("out")))
+
+        # 19 digits with 18 separators, and one character more
+        best = _nest(row.substr(at, F.lit(38)), lambda ahead: F.when(F.length(ahead) >= 13, longest(ahead)))
+        return F.when(at < s["at"], s).otherwise(_nest(best, taken))
+
+    firsts = F.filter(F.sequence(F.lit(1), F.length(row)), lambda k: F.concat(F.lit(" "), row).substr(k, F.lit(2)).rlike("[^0-9][0-9]"))
+    done = F.aggregate(firsts, F.struct(F.lit(1).alias("at"), none.alias("out")), step)
+    last = lambda s: F.concat(s["out"], F.array(F.struct(row.substr(s["at"], F.length(row)).alias("gap"), F.lit(None).cast("string").alias("m"), F.lit(None).cast("string").alias("kind"))))
+    return _nest(_nest(done, last), lambda out: F.transform(out, lambda x, i: F.struct(
+        F.when(i == 0, F.concat(gap, x["gap"])).otherwise(x["gap"]).alias("gap"), x["m"].alias("m"), x["kind"].alias("kind"))))
+
+
 def pseudonym(key: Column, kind: Column, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     name = F.sha2(F.concat_ws("|", key, F.lit("email"), F.lower(m)), 256)
@@ -171,7 +218,10 @@ def find(text: Column) -> Column:
     """array<struct<gap, m, kind>>: the text cut at every match; the last entry has no match."""
     gaps = F.split(text, ANY, -1)
     hits = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    return F.zip_with(gaps, hits, lambda g, m: F.struct(g.alias("gap"), m.alias("m"), kind_of(m).alias("kind")))
+    pieces = F.zip_with(gaps, hits, lambda g, m: F.when(m.rlike("^[0-9][0-9 -]*$") & ~m.rlike(f"^(?:{DATE})$"), cards_in(g, m)).otherwise(
+        F.array(F.struct(g.alias("gap"), m.alias("m"), kind_of(m).alias("kind")))
+    ))
+    return F.flatten(pieces)
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:

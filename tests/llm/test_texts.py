@@ -285,3 +285,23 @@ def test_pipeline_is_what_its_operators_say(spark):
     for i, a in enumerate(sets):
         for b in sets[:i]:
             assert 100 * len(a & b) < 75 * len(a | b)
+
+
+def test_pseudonyms_of_adjacent_values(spark):
+    phone, ip, card, amex, date = "+1 (826) 555-4081", "190.137.223.204", "4111111111111111", "3782 822463 10005", "2024-02-29"
+    german = "+49 30 1234567"
+    rows = [[phone, ip], [phone, card], [phone, date], [phone, "12"], [german, ip], [german, "4111 1111 1111 1111"], [german, amex], [german, date],
+            [card, "12"], ["12", card], [card, date], [card, ip], [date, card], [ip, card], [amex, "4111 1111 1111 1111"], [card, "12", card], [card, "300.1.1.1"],
+            ["1111 1111 1111 1112", "12"]]
+    kind = {phone: "phone", german: "phone", ip: "ip", card: "card", amex: "card", "4111 1111 1111 1111": "card", date: "date"}
+    docs = spark.createDataFrame([(i, "of " + " ".join(r) + " months") for i, r in enumerate(rows)], "doc_id long, text string")
+    alone = spark.createDataFrame([(k, k) for k in kind], "doc_id string, text string")
+    names = {r.doc_id: r.text for r in pseudonyms.pseudonymise(alone, "k").collect()}
+    for got in pseudonyms.pseudonymise(docs, "k").collect():
+        at, want = 3, []
+        for part in rows[got.doc_id]:
+            if part in kind:
+                want.append((kind[part], at, at + len(part)))
+            at += len(part) + 1
+        assert [tuple(f) for f in got.found] == want, rows[got.doc_id]
+        assert got.text == "of " + " ".join(names.get(p, p) for p in rows[got.doc_id]) + " months"

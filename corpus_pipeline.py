@@ -6,8 +6,11 @@ documents.  All stages but the last return the columns of documents.
 
 * language: documents without a language (``und``: null, or no letter) go;
 * exact duplicates: of equal texts the longest original stays;
-* near duplicates: of each group of linked documents the smallest id stays;
+* near duplicates: of each group of linked documents the smallest id stays (a null id
+  last; of equal ids any one, but always the same);
 * benchmark: documents that hold a phrase of a benchmark item go;
+  rows are told apart by id and text, so those that share an id or have none are
+  decided on each by itself;
 * tokens: the ids of each document, with proof that they decode to its text.
 """
 
@@ -20,11 +23,17 @@ from causeloom.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, la
 from causeloom.llm.staging import stage
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but those whose id is among ``ids``; texts are shuffled only if the ids are too many to broadcast."""
-    gone = stage(ids.select(F.col("id").alias("__gone")).distinct(), "gone")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``, 128 bits of the id and the text, which name a row once exact duplicates are gone."""
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")))
+    return docs.withColumn("__key", F.substring(F.unhex(F.sha2(name, 256)), 1, 16))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keyed ``docs`` but those whose key is among ``keys``; texts are shuffled only if the keys are too many to broadcast."""
+    gone = stage(keys.select(F.col("id").alias("__gone")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= jaccard_join.BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, docs["__key"] == F.col("__gone"), "left_anti").drop("__key")
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +47,18 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard_join.join(docs)
-    return _without(docs, classes.where(~F.col("id").eqNullSafe(F.col("component_id"))))
+    docs = _keyed(docs)
+    moved = jaccard_join.join(docs, "__key").where("id <> component_id")
+    linked = stage(moved.select("id", "component_id").union(moved.select("component_id", "component_id")).distinct(), "linked")
+    named = docs.select("__key", "doc_id").join(linked, F.col("__key") == F.col("id")).select("id", "component_id", "doc_id")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id"))["id"].alias("stays"))
+    return _without(docs, linked.join(first, "component_id").where("id <> stays"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return _without(docs, decontaminate.decontaminate(docs, items).where("n_hit > 0"))
+    docs = _keyed(docs)
+    return _without(docs, decontaminate.decontaminate(docs, items, id_col="__key").where("n_hit > 0"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

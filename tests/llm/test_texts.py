@@ -305,3 +305,22 @@ def test_pseudonyms_of_adjacent_values(spark):
             at += len(part) + 1
         assert [tuple(f) for f in got.found] == want, rows[got.doc_id]
         assert got.text == "of " + " ".join(names.get(p, p) for p in rows[got.doc_id]) + " months"
+
+
+def test_pipeline_decides_on_rows_without_or_with_equal_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(21)
+    text = lambda: " ".join(f"w{draw.randrange(10**6)}" for _ in range(60))
+    near = text()
+    leak = text()
+    rows = [(None, near), (None, near + " more"), (None, text()), (7, near + " still more"), (8, text()), (8, text()), (8, leak + " end"), (None, leak)]
+    rows += [(9, "a b c d e f " + near[:300]), (9, "a b c d e f " + near[:300] + " g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.without_near_copies(spark, docs, "").collect()
+    stay = [rows[k] for k in (2, 3, 4, 5)]
+    assert all(r in [tuple(x) for x in kept] for r in stay)
+    assert len([r for r in kept if r.text.startswith(near[:200])]) == 1 and len([r for r in kept if r.doc_id == 9]) == 1
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(repr, (tuple(r) for r in clean))) == sorted(repr(r) for r in rows if leak not in r[1])

@@ -6,9 +6,9 @@ support vector machines separate the closely related languages and vote.
 Features are hashed character n-grams (1 to 3 bytes of the lower-cased text; all
 ASCII characters but letters count as a blank), square-rooted and scaled to unit
 length, over the whole text.  The machines are fitted on the driver from at most
-``SAMPLE`` labelled rows of each language, chosen by a hash of the id, and at most
-``MAX_LANGUAGES`` languages; what is sent to the driver and broadcast is bounded by
-these two parameters alone.  Prediction is a map over all rows and shuffles
+``SAMPLE`` labelled rows of each language, chosen by a hash of the id; every labelled
+language is learned.  What is sent to the driver and broadcast is bounded by that and
+by the number of languages.  Prediction is a map over all rows and shuffles
 nothing.
 
 Rows whose CRC-32 of the id (as text) is 2 modulo 4 are held out and never learned
@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 BINS = 4096
 #: Most labelled rows of one language that are learned from.
 SAMPLE = 400
-#: Languages learned at most (the most frequent ones).
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
 #: Weight of the penalty, and steps of the solver.
 PENALTY, STEPS = 1e-4, 120
@@ -138,7 +136,7 @@ def labelled_sample(
 ) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, and the feature vectors and language numbers of the rows that are learned from."""
     usable = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN) & ~held_out(id_col))
-    counted = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
+    counted = usable.groupBy(lang_col).count().collect()
     languages = sorted(r[0] for r in counted)
     if not languages:
         return [], np.zeros((0, BINS), np.float32), np.zeros(0, int)

@@ -324,3 +324,9 @@ def test_pipeline_decides_on_rows_without_or_with_equal_ids(spark, tmp_path):
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()
     assert sorted(map(repr, (tuple(r) for r in clean))) == sorted(repr(r) for r in rows if leak not in r[1])
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, f"word{chr(97 + i % 10)}{chr(97 + i // 10 % 10)} text", f"l{i % 80:02d}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.labelled_sample(docs)[0]) == 80

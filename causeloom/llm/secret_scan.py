@@ -19,16 +19,18 @@ Each gives a normal score that is low for an ordinary, structured string; their
 sum over its spread is the candidate's z, near a standard normal for random
 strings.
 
-False discovery is controlled by length.  In each class of length and encoding
-the random strings are counted from the upper half of the z scale, where hardly
-any structured string falls (Storey's estimate).  A cut c accepts all candidates
-above it; of these ``accepted - random * (1 - Phi(c))`` are estimated to be false.
-The lowest cut on a fixed grid whose false share is at most ``rate`` is taken.
-The counts are over the whole corpus, and a table of at most classes x cuts rows
-(some 1,500) comes back by broadcast.  A class whose random share cannot be told
-from nothing accepts nothing.
-
-All of it is DataFrame functions.  Defined results: a null or empty text has no
+False discovery is controlled by length.  The z of each class of length and encoding
+are a mixture of random strings (standard normal) and structured ones, a normal whose
+mean is ``APART`` or lower and which is fitted, with both shares, to the whole class
+and not to the accepted tail.  Its first guess is that of all classes together, which
+also counts as ``PRIOR`` strings, so that a small class borrows it.  A class whose
+random share does not raise the likelihood by ``GAIN`` over structured strings alone
+accepts nothing.  Of what a cut accepts, the structured normal's tail is estimated to
+be false; the lowest cut on a fixed grid whose false share is at most ``rate`` is taken.
+The counts are over the whole corpus; a table of at most classes x bins rows (some
+4,300) comes to the driver, and one of a row for each class goes back by broadcast.
+
+All but the fit is DataFrame functions.  Defined results: a null or empty text has no
 spans; repeated rows are scanned each; an empty table gives no rows; texts are
 scanned whole; further columns stay.
 """
@@ -36,7 +38,9 @@ scanned whole; further columns stay.
 from __future__ import annotations
 
 from functools import reduce
+from math import erfc
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +64,10 @@ LENGTHS = [20, 24, 32, 48, 64, 128]
 UNIT = 1.461
 #: Cuts on the z scale.
 CUTS = [c / 4 for c in range(-12, 9)]
+#: Bins of the fit, a quarter wide; lower and higher z fall in the outer ones.
+LOWEST, HIGHEST = -12.0, 3.0
+#: Highest mean, least and greatest spread of structured strings, strings that the common fit counts as, and least gain in likelihood.
+APART, NARROW, WIDE, PRIOR, GAIN = -1.5, 0.5, 4.0, 5.0, 4.0
 
 
 def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
@@ -138,11 +146,6 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
 
 
-def phi(z: Column) -> Column:
-    """The normal distribution function (a logistic approximation, within 0.0002)."""
-    return 1 / (1 + F.exp(-(1.5976 * z + 0.070566 * z * z * z)))
-
-
 def battery(candidates: DataFrame) -> DataFrame:
     """Adds encoding, the three scores and z to candidates with a match ``m``."""
     body = F.regexp_replace("m", "=+$", "")
@@ -192,21 +195,53 @@ def length_class(m: Column) -> Column:
     return out
 
 
+def _tail(z: np.ndarray, mean: float = 0.0, spread: float = 1.0) -> np.ndarray:
+    """The share of a normal above each ``z``."""
+    return np.array([0.5 * erfc((x - mean) / spread / 2**0.5) for x in z])
+
+
+def _fit(counts: np.ndarray, share: float, mean: float, spread: float, random: bool) -> tuple[float, float, float, float]:
+    """Random share, structured mean and spread by EM on binned z, from the guess on, and the logarithm of the likelihood."""
+    edges = np.arange(LOWEST, HIGHEST + 0.25, 0.25)
+    middle = edges + 0.125
+    within = lambda m, d: np.maximum(-np.diff(np.concatenate([[1.0], _tail(edges[1:], m, d), [0.0]])), 1e-12)
+    noise, guess, share = within(0.0, 1.0), (mean, spread), share if random else 0.0
+    for _ in range(200):
+        structured = within(mean, spread)
+        density = share * noise + (1 - share) * structured
+        mine = counts * (1 - share) * structured / density
+        share = float(np.clip(1 - mine.sum() / counts.sum(), 0.0, 1.0)) if random else 0.0
+        whole = mine.sum() + PRIOR
+        mean = min(APART, float((mine @ middle + PRIOR * guess[0]) / whole))
+        spread = float(np.clip(((mine @ (middle - mean) ** 2 + PRIOR * (guess[1] ** 2 + (guess[0] - mean) ** 2)) / whole) ** 0.5, NARROW, WIDE))
+    return share, mean, spread, float(counts @ np.log(share * noise + (1 - share) * within(mean, spread)))
+
+
+def cut_of(counts: np.ndarray, guess: tuple[float, float], rate: float = RATE) -> float | None:
+    """The lowest cut at which at most ``rate`` of a class is estimated to be structured; ``counts`` by bin from LOWEST on."""
+    _, _, _, alone = _fit(counts, 0.0, *guess, False)
+    share, mean, spread, both = _fit(counts, 0.5, *guess, True)
+    if both - alone < GAIN:
+        return None
+    false = counts.sum() * (1 - share) * _tail(np.array(CUTS), mean, spread)
+    for cut, wrong in zip(CUTS, false.tolist()):
+        accepted = counts[round((cut - LOWEST) * 4) :].sum()
+        if accepted and wrong <= rate * accepted:
+            return cut
+    return None
+
+
 def thresholds(scored: DataFrame, rate: float = RATE) -> DataFrame:
     """(encoding, class, cut) of each class that accepts anything; over all candidates of the corpus."""
-    grid = F.explode(F.array(*[F.lit(float(c)) for c in CUTS]))
-    binned = scored.groupBy("encoding", "class", F.least(F.greatest(F.floor(F.col("z") * 4) / 4, F.lit(CUTS[0] - 1)), F.lit(CUTS[-1])).alias("bin")).count()
-    per = binned.groupBy("encoding", "class").agg(
-        F.collect_list(F.struct("bin", "count")).alias("bins"),  # at most one entry for each cut
-        F.sum(F.when(F.col("bin") >= 0, F.col("count")).otherwise(0)).alias("upper"),
-    ).select("encoding", "class", "bins", (F.col("upper") * 2).alias("random"), grid.alias("cut"))
-    accepted = F.aggregate("bins", F.lit(0.0), lambda a, b: a + F.when(b["bin"] >= F.col("cut"), b["count"]).otherwise(0).cast("double"))
-    true = F.col("random") * (1 - phi(F.col("cut")))
-    return (
-        per.withColumn("accepted", accepted).where("accepted > 0 AND random > 0")
-        .where(F.greatest(F.col("accepted") - true, F.lit(0.0)) <= rate * F.col("accepted"))
-        .groupBy("encoding", "class").agg(F.min("cut").alias("cut"))
-    )
+    place = F.least(F.greatest(F.floor((F.col("z") - LOWEST) * 4), F.lit(0)), F.lit(int((HIGHEST - LOWEST) * 4))).cast("int")
+    classes: dict = {}
+    for encoding, length, k, n in scored.groupBy("encoding", "class", place.alias("bin")).count().collect():  # at most classes x bins rows
+        classes.setdefault((encoding, length), np.zeros(int((HIGHEST - LOWEST) * 4) + 1))[k] += n
+    found = []
+    if classes:
+        _, mean, spread, _ = _fit(sum(classes.values()), 0.5, -4.0, 2.0, True)
+        found = [(*c, cut) for c, counts in sorted(classes.items()) if (cut := cut_of(counts, (mean, spread), rate)) is not None]
+    return scored.sparkSession.createDataFrame(found, "encoding string, class int, cut double")
 
 
 def scan(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:

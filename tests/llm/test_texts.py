@@ -330,3 +330,16 @@ def test_every_labelled_language_is_learned(spark):
     rows = [(i, f"word{chr(97 + i % 10)}{chr(97 + i // 10 % 10)} text", f"l{i % 80:02d}") for i in range(800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert len(language_id.labelled_sample(docs)[0]) == 80
+
+
+def test_structured_strings_alone_are_not_accepted(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    sets = {"structured": draw.normal(-3, 1.5, 20_000), "random": draw.normal(0, 1, 2000), "apart": np.concatenate([draw.normal(0, 1, 1000), draw.normal(-6, 1.5, 5000)])}
+    rows = spark.createDataFrame([(k, 1, float(z)) for k, some in sets.items() for z in some], "encoding string, class int, z double")
+    cut = {r.encoding: r.cut for r in secret_scan.thresholds(rows).collect()}
+    assert set(cut) == {"random", "apart"} and (sets["random"] >= cut["random"]).mean() > 0.95
+    noise, plain = sets["apart"][:1000] >= cut["apart"], sets["apart"][1000:] >= cut["apart"]
+    assert noise.mean() > 0.9 and plain.sum() < 0.1 * noise.sum()
+    assert secret_scan.thresholds(rows.where("false")).collect() == []

@@ -24,10 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +32,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .caching import Generations
+from .caching import Memo
+from .prefix_tables import WIDTHS, PrefixTables
+from .units import cuts, spread
 
-#: Words memoised by one worker, in each of two generations.
-MEMO = 250_000
-_CUT = re.compile(r" (?=\S)")
-_UNSAFE = re.compile(r" (?:\s|$)")
+#: Bytes that one worker's memo of words takes at most.
+MEMO = 32 << 20
+#: Rows that are encoded together, and bytes of a long piece that are extended together.
+ROWS, RUN = 512, 1 << 16
+# The one split pattern that is cut by vector operations, and the white space beyond ASCII.
+FAST_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WIDE_BLANK = regex.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WIDE_LEADS = [0xC2, 0xE1, 0xE2, 0xE3]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,12 +56,11 @@ class ByteBpe:
     """One vocabulary: prefix tables, encoding, decoding."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+        self.ranks, self.split = ranks, pattern
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.longest = max(map(len, ranks), default=1)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._sound: dict[int, bool] = {}
+        self.tables = PrefixTables(ranks)
 
     def merged(self, piece: bytes) -> list[int]:
         """Tokens by the definition: merge the leftmost pair of lowest rank until none is left."""
@@ -74,60 +76,65 @@ class ByteBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
-    def compatible(self, left: int, right: int) -> bool:
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) > 400_000:
-                self._pairs.clear()
-            known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self._pairs[left, right] = known
-        return known
-
-    def sound(self, token: int) -> bool:
-        """Whether merging a token's own bytes gives the token."""
-        known = self._sound.get(token)
-        if known is None:
-            known = self._sound[token] = self.merged(self.bytes_of[token]) == [token]
-        return known
-
     def extend(self, data: bytes, last: list[int], stop: int | None = None) -> list[int]:
-        """Fill ``last`` (the valid last token of each prefix, by its end) up to ``stop``.
-
-        Tokens that are compatible as a pair are sound, so soundness is asked only
-        of a token that covers its whole prefix.
-        """
-        rank, longest, pairs = self.ranks.get, self.longest, self._pairs
-        for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
-            token = rank(data[:end]) if end <= longest else None
-            if token is not None and self.sound(token):
-                last.append(token)
-                continue
-            for begin in range(max(1, end - longest), end):
-                token = rank(data[begin:end])
-                if token is not None:
-                    fits = pairs.get((last[begin - 1], token))
-                    if fits or fits is None and self.compatible(last[begin - 1], token):
-                        last.append(token)
-                        break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
+        """Fill ``last`` (the valid last token of each prefix, by its end) up to ``stop``."""
+        stop = len(data) if stop is None else stop
+        known: dict[tuple[int, int], bool] = {}
+        while len(last) < stop:
+            self._extend(data, last, min(stop, len(last) + RUN), known)
         return last
 
-    def encode_sorted(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
-        """Encode sorted pieces; each starts from the table of the prefix it shares with the one before."""
-        out, before, last = {}, b"", []
-        for piece in pieces:
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                out[piece] = [whole]
+    def _extend(self, data: bytes, last: list[int], stop: int, known: dict) -> None:
+        """Tokens are found by walking the trie from all places at once; then each end takes its one compatible token."""
+        tables, low, done = self.tables, max(0, len(last) + 1 - self.longest), len(last)
+        text = np.frombuffer(data[low:stop], np.uint8)
+        at = np.arange(len(text))
+        state, ends, starts, tokens = np.zeros(len(text), np.int64), [], [], []
+        depth = 0
+        while len(at):
+            state = tables.step((state << 8 | text[at + depth]).astype(np.uint64)).astype(np.int64)
+            depth += 1
+            alive = state >= 0
+            at, state = at[alive], state[alive]
+            hit = np.nonzero((tables.token_of[state] >= 0) & (at + depth + low > done))[0]
+            ends.append(at[hit] + depth + low)
+            starts.append(at[hit] + low)
+            tokens.append(tables.token_of[state[hit]])
+            inside = at + depth < len(text)
+            at, state = at[inside], state[inside]
+        ends, starts, tokens = map(np.concatenate, (ends, starts, tokens))
+        order = np.lexsort((starts, ends))  # longest tokens first
+        sound, compatible = tables.sound, self.compatible
+        for end, start, token in zip(ends[order].tolist(), starts[order].tolist(), tokens[order].tolist()):
+            if len(last) >= end:
                 continue
-            shared, most = 0, min(len(before), len(piece))
-            while shared < most and before[shared] == piece[shared]:
-                shared += 1
-            del last[shared:]
-            out[piece] = self.walk(self.extend(piece, last))
-            before = piece
-        return out
+            if len(last) != end - 1:
+                break
+            if start == 0:
+                fits = sound[token]
+            else:
+                pair = last[start - 1], token
+                fits = known.get(pair)
+                if fits is None:
+                    fits = known[pair] = compatible(*pair)
+            if fits:
+                last.append(token)
+        if len(last) != stop:
+            raise ValueError("the vocabulary lacks a single byte")
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether two tokens side by side are the encoding of their bytes; see ``prefix_tables``."""
+        tables, ranks, spelled, before = self.tables, self.ranks, self.bytes_of, 1 << 40
+        while True:
+            across = ranks.get(spelled[a] + spelled[b])
+            if across is not None and across < before:
+                return False
+            if tables.left[a] >= 0 and (tables.left[b] < 0 or a > b):
+                before, a = a, int(tables.right[a])
+            elif tables.left[b] >= 0:
+                before, b = b + 1, int(tables.left[b])
+            else:
+                return True
 
     def walk(self, last: list[int]) -> list[int]:
         """Tokens of the prefix that ``last`` covers."""
@@ -168,13 +175,14 @@ class PrefixTable:
         old, shift, window = self.last, len(new) - (stop - start), self.bpe.longest
         data = self.data[:start] + new + self.data[stop:]
         last, same, settled = old[:start], 0, None
-        while len(last) < len(data):
-            self.bpe.extend(data, last, len(last) + 1)
-            end = len(last)
-            same = same + 1 if end > start + len(new) and old[end - 1 - shift] == last[-1] else 0
-            if same >= window:
-                settled = end
-                break
+        while len(last) < len(data) and settled is None:
+            done = len(last)
+            self.bpe.extend(data, last, min(len(data), done + window))
+            for end in range(done + 1, len(last) + 1):
+                same = same + 1 if end > start + len(new) and old[end - 1 - shift] == last[end - 1] else 0
+                if same >= window:
+                    settled = len(last)
+                    break
         self.recomputed = len(last) - start
         self.data, self.last = data, last if settled is None else last + old[settled - shift :]
 
@@ -216,64 +224,84 @@ class EditableText:
 
 
 class TextEncoder:
-    """Encodes whole texts through a bounded memo of words.
+    """Encodes whole columns of texts.
 
-    A space before a non-space character always begins a piece and no piece goes
-    beyond it, so a text may be cut there and its words encoded one by one.  The
-    unseen words of some texts are encoded together, sorted.
+    Texts are cut into words by vector operations where they hold no white space beyond
+    ASCII (their cut is then the split pattern's, which is checked to be the one that
+    this holds for); other texts, and words of other scripts, are cut by the pattern.
+    The distinct pieces that the memo lacks are encoded together, by their prefix tables.
     """
 
     def __init__(self, bpe: ByteBpe, memo: int = MEMO):
         self.bpe = bpe
         self.kind = np.dtype("<u2" if max(bpe.bytes_of, default=0) < 1 << 16 else "<u4")
-        self.words = Generations(lambda word: np.array(bpe.encode(word), self.kind).tobytes(), memo)
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        if not text:
-            return []
-        first, *rest = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
-        words = [" " + r for r in rest]
-        return [first, *words] if first else words
-
-    def prepare(self, texts: list[list[str]]) -> None:
-        memo, split = self.words, self.bpe.pattern.findall
-        unseen = [w for w in set().union(*texts) if w not in memo]
-        memo.make_room(len(unseen))
-        fresh = {}
-        for word in unseen:
-            value = memo.old.get(word)
-            if value is None:
-                fresh[word] = [piece.encode() for piece in split(word)]
-            else:
-                memo[word] = value
-        code = "H" if self.kind.itemsize == 2 else "I"
-        encoded = self.bpe.encode_sorted(sorted(set(chain.from_iterable(fresh.values()))))
-        packed = {piece: array(code, ids).tobytes() for piece, ids in encoded.items()}
-        for word, pieces in fresh.items():
-            memo[word] = packed[pieces[0]] if len(pieces) == 1 else b"".join([packed[p] for p in pieces])
-
-    def forget(self) -> None:
-        """Give the memo's memory back, for what runs in this worker next."""
-        self.words.clear()
-        self.words.old = {}
-        self.bpe._pairs.clear()
-        pa.default_memory_pool().release_unused()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        cut = [self.cut(t) for t in texts]
-        self.prepare(cut)
-        words = self.words
-        return [np.frombuffer(b"".join([words[w] for w in c]), self.kind) for c in cut]
+        self.memo = Memo(memo)
+        self.fast = bpe.split == FAST_PATTERN
+
+    def pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of distinct pieces."""
+        order, ids, counts = self.bpe.tables.encode(pieces)
+        packed, ends = ids.astype(self.kind).tobytes(), (np.cumsum(counts) * self.kind.itemsize).tolist()
+        out, begin = {}, 0
+        for k, end in zip(order, ends):
+            out[pieces[k]] = packed[begin:end]
+            begin = end
+        if len(out) < len(pieces):
+            for piece in pieces:
+                if piece not in out:
+                    out[piece] = np.array(self.bpe.encode_piece(piece), self.kind).tobytes()
+        return out
+
+    def units(self, units: list[bytes], odd) -> list[bytes]:
+        """Packed ids of each unit; an odd one is cut by the pattern first."""
+        values = self.memo.get_all(units)
+        missing = [k for k, v in enumerate(values) if v is None]
+        if missing:
+            split = self.bpe.pattern.findall
+            plain = [units[k] for k in missing if not odd[k]]
+            parts = {k: [p.encode() for p in split(units[k].decode())] for k in missing if odd[k]}
+            packed = self.pieces(list(set(plain).union(*parts.values())))
+            for k in missing:
+                own = parts.get(k)
+                values[k] = packed[units[k]] if own is None else b"".join([packed[p] for p in own])
+                self.memo.add(units[k], values[k])
+        return values
+
+    def encode_column(self, column) -> Iterator[np.ndarray]:
+        """The ids of each text of an Arrow column, in order; null is empty."""
+        for _, cut, data, edges in cuts(column, b"'", glue=True):
+            wide = self._wide(data, edges)
+            values = self.units(cut.distinct, cut.odd) if not wide.all() else [b""] * len(cut.distinct)
+            sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+            ids = spread(np.frombuffer(b"".join(values), self.kind), sizes, cut.of)
+            ends = np.concatenate([[0], np.cumsum(sizes[cut.of])])[cut.bounds].tolist()
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                if wide[k]:
+                    text = data[edges[k] : edges[k + 1]].tobytes().decode()
+                    own = [p.encode() for p in self.bpe.pattern.findall(text)]
+                    packed = self.pieces(list(set(own)))
+                    yield np.frombuffer(b"".join([packed[p] for p in own]), self.kind)
+                else:
+                    yield ids[a:b]
+
+    def _wide(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Which texts the pattern must cut as a whole."""
+        out = np.full(len(edges) - 1, not self.fast)
+        if self.fast:
+            leads = np.nonzero(np.isin(data, _WIDE_LEADS))[0] if len(data) and data.max() >= 0xC2 else []
+            if len(leads):
+                for k in np.unique(np.searchsorted(edges, leads, side="right") - 1).tolist():
+                    out[k] = WIDE_BLANK.search(data[edges[k] : edges[k + 1]].tobytes().decode()) is not None
+        return out
 
 
 _loaded: dict[tuple[str, str], TextEncoder] = {}
 
 
 def encoder(path: str, pattern: str) -> TextEncoder:
-    """The encoder of this worker for a rank file."""
+    """The encoder of this process for a rank file."""
     if (path, pattern) not in _loaded:
+        _loaded.clear()  # one vocabulary at a time
         _loaded[path, pattern] = TextEncoder(ByteBpe(read_ranks(path), pattern))
     return _loaded[path, pattern]
 
@@ -309,29 +337,28 @@ def tokenize(
     schema.names = [f.name for f in schema.fields]
     schema._needConversion = [f.dataType.needConversion() for f in schema.fields]
 
+    kinds = {"n_tokens": pa.int64(), "round_trip": pa.bool_(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(*vocabulary)
-        spelled = {i: str(i) for i in coder.bpe.bytes_of}
-        try:
-            for batch in batches:
-                for part in range(0, batch.num_rows, 512):
-                    yield from one(coder, spelled, batch.slice(part, 512))
-        finally:
-            coder.forget()
+        spelled = [b"%d" % i for i in range(max(coder.bpe.bytes_of, default=-1) + 1)] if digests else None
+        for batch in batches:
+            for part in range(0, batch.num_rows, ROWS):
+                yield one(coder, spelled, batch.slice(part, ROWS))
 
     def one(coder, spelled, batch):
         out: dict[str, list] = {n: [] for n in names}
-        found = []
-        texts = [text or "" for text in batch.column(len(keep)).to_pylist()]
-        for text, tokens in zip(texts, coder.encode(texts)):
+        found, texts = [], batch.column(len(keep))
+        token = coder.bpe.bytes_of.__getitem__
+        for text, tokens in zip(texts, coder.encode_column(texts)):
             listed = tokens.tolist()
-            decoded = coder.bpe.decode(listed)
+            decoded = b"".join(map(token, listed))
             out["n_tokens"].append(len(listed))
-            out["round_trip"].append(decoded == text.encode())
+            out["round_trip"].append(decoded == (text.as_py() or "").encode())
             if ids:
                 found.append(tokens.astype("<i4"))
             if digests:
-                out["ids_sha256"].append(hashlib.sha256(" ".join(map(spelled.__getitem__, listed)).encode()).hexdigest())
+                out["ids_sha256"].append(hashlib.sha256(b" ".join(map(spelled.__getitem__, listed))).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
         columns = [batch.column(i) for i in range(len(keep))]
         for name in names:
@@ -340,8 +367,8 @@ def tokenize(
                 flat = np.concatenate(found) if found else np.empty(0, "<i4")
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
             else:
-                columns.append(pa.array(out[name]))
-        yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+                columns.append(pa.array(out[name], kinds[name]))
+        return pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     return docs.select(*keep, F.col(text_col)).mapInArrow(run, schema)
 

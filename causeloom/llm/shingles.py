@@ -78,8 +78,9 @@ def sequences(numbers: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def texts_in(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def texts_in(column, chunk: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Chunks of a text column: (first row, bytes, edges); null texts are empty."""
+    chunk = chunk or CHUNK
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
@@ -89,7 +90,7 @@ def texts_in(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(whole, np.uint8) if whole is not None else np.empty(0, np.uint8)
     row = 0
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(edges, edges[row] + CHUNK, side="right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(edges, edges[row] + chunk, side="right")) - 1)
         yield row, data[edges[row] : edges[stop]], edges[row : stop + 1] - edges[row]
         row = stop
 

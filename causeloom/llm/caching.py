@@ -36,33 +36,3 @@ class Memo:
             self.old, self.young, self.held = self.young, {}, 0
         self.young[key] = value
         self.held += size
-
-
-class Generations(dict):
-    """``dict`` that computes missing values and holds at most ``2 * limit`` of them.
-
-    When the young generation is full it becomes the old one and the former old
-    one is forgotten; a value found in the old generation moves back to the young.
-    """
-
-    __slots__ = ("compute", "limit", "old")
-
-    def __init__(self, compute, limit: int):
-        super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-    def make_room(self, coming: int) -> None:
-        """Age the young generation if ``coming`` further values don't fit it."""
-        if len(self) + coming > self.limit:
-            self.old = dict(self)
-            self.clear()

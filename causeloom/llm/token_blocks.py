@@ -24,13 +24,12 @@ the ranges come from one small table with a row for each task.  Files are writte
 and read by Spark, in the shared folder; a lost executor only repeats its tasks.
 
 Defined results: a null text is empty and holds the end id alone; null ids come
-first; repeated rows are encoded each; an empty table gives no rows.
+first; rows of one id follow each other in an order of their texts' hashes; repeated rows are encoded each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,8 +40,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .caching import Generations
+from .caching import Memo
 from .staging import stage
+from .units import cuts, spread
 
 BLOCK = 128
 #: Ids of a segment at which it is closed.
@@ -51,10 +51,8 @@ SEGMENT = 1 << 18
 PERCENTILE = 0.9
 #: Appended to every document.
 END_ID = 1
-#: Words memoised by one worker, in each of two generations.
-MEMO = 300_000
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: Bytes that one worker's memo of words takes at most.
+MEMO = 32 << 20
 _SPEC = "part int, first long, n_ids long, doc_ids array<{kind}>, lengths array<long>, segment binary"
 
 
@@ -155,74 +153,70 @@ def read_block(segment: bytes, block: int) -> np.ndarray:
 class WordEncoder:
     """The tokenizers library behind a bounded memo of words.
 
-    The library's own splitting never lets a token span white space, so texts are
-    cut there and only unseen words reach it.  Of those, a Latin word with
-    punctuation behind it is split once more, as the library does, and its letters
-    are looked up in lower case; unseen ones are encoded many to a call, and told
-    apart by the vocabulary's end-of-word mark.  Texts with one of the four
-    characters on which Python and the library disagree about white space are
-    encoded whole.
+    The library's own splitting never lets a token span white space, nor two of the classes
+    letters, single digits and others, so texts are cut there by vector operations and only
+    distinct words reach it.  Of the unseen ones, words of Latin letters are encoded many
+    to a call and told apart by the vocabulary's end-of-word mark; runs with any other
+    character, an apostrophe or a ``<`` (which may begin a special token) go to the
+    library as they are.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.words = Generations(self._one, memo)
-        self.bases = Generations(self._one, memo)
+        self.memo = Memo(memo)
         vocabulary = self.library.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-
-    def _one(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _many(self, words: list[str]) -> None:
-        """Encode lower-case words of letters, each of which is one word to the library."""
+        self.kind = np.dtype("<u2" if len(self.closes) <= 1 << 16 else "<u4")
+        # the same model for words that are normal and apart already
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+
+    def _packed(self, encodings) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in encodings]
+
+    def _simple(self, words: list[bytes]) -> list[bytes]:
+        """Lower-case words of one class each, which are one word to the library."""
+        out = []
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
             stops = (np.nonzero(self.closes[ids])[0] + 1).tolist()
-            if len(stops) != len(some):
-                continue  # left to be encoded one by one
-            packed, begin = ids.tobytes(), 0
-            for word, stop in zip(some, stops):
-                self.bases[word] = packed[4 * begin : 4 * stop]
-                begin = stop
-
-    def prepare(self, texts: list[list[str]]) -> None:
-        """Encode the unseen words of some texts at once."""
-        memo, bases = self.words, self.bases
-        unseen = [w for w in set().union(*texts) if w not in memo]
-        memo.make_room(len(unseen))
-        simple, odd, old, match = [], [], memo.old, _SIMPLE.fullmatch
-        for w in unseen:
-            if w in old:
-                memo[w] = old[w]
-            elif (m := match(w)) is not None:
-                simple.append((w, *m.groups()))
-            else:
-                odd.append(w)
-        fresh = {b.lower() for _, b, _ in simple}
-        fresh = [b for b in fresh if b not in bases and b not in bases.old]
-        bases.make_room(len(fresh))
-        self._many(fresh)
-        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False) if odd else ()):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-        for w, base, rest in simple:
-            value = bases[base.lower()]
-            memo[w] = value + memo[rest] if rest else value
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """The little-endian unsigned 32-bit ids of each text, ``end`` appended."""
-        cut = [[] if _SEPARATORS.search(t) else t.split() for t in texts]
-        self.prepare(cut)
-        words = self.words
-        return [
-            (self._one(t) if not c and t and not t.isspace() else b"".join([words[w] for w in c])) + end
-            for t, c in zip(texts, cut)
-        ]
+            if len(stops) == len(some):
+                packed, begins, size = ids.tobytes(), [0, *stops], self.kind.itemsize
+                out += [packed[size * a : size * b] for a, b in zip(begins, stops)]
+            else:  # a vocabulary that lacks some last letter
+                out += self._packed(self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False))
+        return out
+
+    def units(self, units: list[bytes], odd) -> list[bytes]:
+        """Packed ids of each unit."""
+        values = self.memo.get_all(units)
+        missing = [k for k, v in enumerate(values) if v is None]
+        simple, strange = [k for k in missing if not odd[k]], [k for k in missing if odd[k]]
+        found = self._simple([units[k] for k in simple])
+        for at in range(0, len(strange), 4096):
+            some = [units[k].decode() for k in strange[at : at + 4096]]
+            found += self._packed(self.library.encode_batch_fast(some, add_special_tokens=False))
+        for k, value in zip(simple + strange, found):
+            values[k] = value
+            self.memo.add(units[k], value)
+        return values
+
+    def encode_column(self, column) -> Iterator[np.ndarray]:
+        """The ids of each text of an Arrow column, in order; null is empty."""
+        for _, cut, _, _ in cuts(column, b"'<", single_digits=True, fold=True):
+            values = self.units(cut.distinct, cut.odd)
+            sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+            ids = spread(np.frombuffer(b"".join(values), self.kind), sizes, cut.of)
+            ends = np.concatenate([[0], np.cumsum(sizes[cut.of])])[cut.bounds].tolist()
+            yield from (ids[a:b] for a, b in zip(ends[:-1], ends[1:]))
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -230,6 +224,7 @@ _loaded: dict[str, WordEncoder] = {}
 
 def word_encoder(path: str) -> WordEncoder:
     if path not in _loaded:
+        _loaded.clear()  # one vocabulary at a time
         _loaded[path] = WordEncoder(path)
     return _loaded[path]
 
@@ -239,7 +234,7 @@ def write_segments(
     end_id: int = END_ID, segment: int = SEGMENT, percentile: float = PERCENTILE,
 ) -> DataFrame:
     """Encode all texts in ascending id order and stage their segments."""
-    end = struct.pack("<I", end_id)
+    end = np.array([end_id], "<u4")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +248,7 @@ def write_segments(
             row = pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([held], pa.int64()),
                 pa.array([ids], pa.list_(key)), pa.array([lengths], pa.list_(pa.int64())),
-                pa.array([pack(np.frombuffer(b"".join(pieces), "<u4"), percentile)], pa.binary()),
+                pa.array([pack(np.concatenate(pieces), percentile)], pa.binary()),
             ], names=["part", "first", "n_ids", "doc_ids", "lengths", "segment"])
             first += held
             ids, lengths, pieces, held = [], [], [], 0
@@ -261,20 +256,20 @@ def write_segments(
 
         for batch in batches:
             key = batch.column(0).type
-            for start in range(0, batch.num_rows, 256):
-                some = batch.slice(start, 256)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc, packed in zip(some.column(0).to_pylist(), coder.encode(texts, end)):
-                    ids.append(doc)
-                    lengths.append(len(packed) // 4)
-                    pieces.append(packed)
-                    held += len(packed) // 4
-                    if held >= segment:
-                        yield close()
+            for doc, own in zip(batch.column(0).to_pylist(), coder.encode_column(batch.column(1))):
+                ids.append(doc)
+                lengths.append(len(own) + 1)
+                pieces += [own.astype("<u4"), end]
+                held += len(own) + 1
+                if held >= segment:
+                    yield close()
         if ids:
             yield close()
 
-    dealt = docs.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    # rows of one id, or without one, are dealt by their texts, so that no id is one task's
+    tie = F.xxhash64(text_col).alias("__tie")
+    dealt = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), tie).repartitionByRange("__id", "__tie")
+    dealt = dealt.sortWithinPartitions("__id", "__tie").select("__id", "__text")
     return stage(dealt.mapInArrow(run, _SPEC.format(kind=kind)), "token-blocks", "none")
 
 

@@ -52,7 +52,7 @@ PERCENTILE = 0.9
 #: Appended to every document.
 END_ID = 1
 #: Bytes that one worker's memo of words takes at most.
-MEMO = 32 << 20
+MEMO = 96 << 20
 _SPEC = "part int, first long, n_ids long, doc_ids array<{kind}>, lengths array<long>, segment binary"
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from .shingles import texts_in
 
 #: Bytes of text that are worked on at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 22
 BLANK, LETTER, DIGIT, OTHER, ODD = range(5)
 
 _CLASS = np.full(256, ODD, np.uint8)

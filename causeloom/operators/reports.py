@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import normalize_label
@@ -17,7 +17,7 @@ def _incident(graph: Graph) -> DataFrame:
     return out.unionByName(into)
 
 
-def centrality(graph: Graph) -> DataFrame:
+def centrality(graph: Graph, ids: bool = False) -> DataFrame:
     """Degrees in and out, their confidences, and (weighted in + out) / (in + out)."""
     e = graph.edges
     ends = e.select(F.col("src").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i"), "confidence").unionByName(
@@ -29,7 +29,7 @@ def centrality(graph: Graph) -> DataFrame:
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return graph.nodes.join(sums, "node_id", "left").select(
-        "label", zero("degree_in").alias("degree_in"), zero("degree_out").alias("degree_out"),
+        *["node_id"] * ids, "label", zero("degree_in").alias("degree_in"), zero("degree_out").alias("degree_out"),
         F.round(zero("w_in"), 6).alias("weighted_in"), F.round(zero("w_out"), 6).alias("weighted_out"),
         F.round(F.when(zero("degree_in") + zero("degree_out") > 0, (zero("w_in") + zero("w_out")) / (zero("degree_in") + zero("degree_out"))).otherwise(0.0), 6).alias("score"),
     )
@@ -39,30 +39,30 @@ def _counts(graph: Graph) -> DataFrame:
     return graph.nodes.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(graph.edges.agg(F.count(F.lit(1)).alias("n_edges")))  # one row each
 
 
-def density(graph: Graph) -> DataFrame:
+def density(graph: Graph, ids: bool = False) -> DataFrame:
     """E / (N (N-1)), and every node's degree over 2 (N-1)."""
     degree = _incident(graph).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
     many = F.col("n_nodes") > 1
     return graph.nodes.join(degree, "node_id", "left").crossJoin(F.broadcast(_counts(graph))).select(
-        "label", "n_nodes", "n_edges",
+        *["node_id"] * ids, "label", "n_nodes", "n_edges",
         F.round(F.when(many, F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).otherwise(0.0), 6).alias("density"),
         F.coalesce("degree", F.lit(0)).alias("degree"),
         F.round(F.when(many, F.coalesce("degree", F.lit(0)) / (2 * (F.col("n_nodes") - 1))).otherwise(0.0), 6).alias("local_density"),
     )
 
 
-def coverage(graph: Graph) -> DataFrame:
+def coverage(graph: Graph, ids: bool = False) -> DataFrame:
     """Share of all edges that touch a node, and how many of those have provenance (1 if none)."""
     own = _incident(graph).groupBy("node_id").agg(F.count(F.lit(1)).alias("d"), F.count("provenance").alias("p"))
     d, p = F.coalesce("d", F.lit(0)), F.coalesce("p", F.lit(0))
     return graph.nodes.join(own, "node_id", "left").crossJoin(F.broadcast(_counts(graph))).select(
-        "label", d.alias("degree"),
+        *["node_id"] * ids, "label", d.alias("degree"),
         F.round(F.when(F.col("n_edges") > 0, d / F.col("n_edges")).otherwise(0.0), 6).alias("coverage"),
         F.round(F.when(d > 0, p / d).otherwise(1.0), 6).alias("provenance_ratio"),
     )
 
 
-def reliability(graph: Graph) -> DataFrame:
+def reliability(graph: Graph, ids: bool = False) -> DataFrame:
     """Least and mean confidence at a node, and the mean times the provenance ratio."""
     own = _incident(graph).groupBy("node_id").agg(
         F.min("confidence").alias("least"), F.avg("confidence").alias("mean"),
@@ -70,16 +70,16 @@ def reliability(graph: Graph) -> DataFrame:
     )
     mean, ratio = F.coalesce("mean", F.lit(0.0)), F.coalesce("ratio", F.lit(1.0))
     return graph.nodes.join(own, "node_id", "left").select(
-        "label", F.coalesce("least", F.lit(0.0)).alias("min_confidence"), F.round(mean, 6).alias("mean_confidence"),
+        *["node_id"] * ids, "label", F.coalesce("least", F.lit(0.0)).alias("min_confidence"), F.round(mean, 6).alias("mean_confidence"),
         F.round(ratio, 6).alias("provenance_ratio"), F.round(mean * ratio, 6).alias("reliability"),
     )
 
 
 def gaps(graph: Graph) -> DataFrame:
-    """Edges with a temporal gap, by labels."""
+    """Edges with a temporal gap, an open one included, by labels."""
     names = graph.nodes.select("node_id", "label")
     return (
-        graph.edges.where("gap_min is not null or gap_max is not null")
+        graph.edges.where(graph.with_gap())
         .join(names.select(F.col("node_id").alias("src"), F.col("label").alias("from_label")), "src", "left")
         .join(names.select(F.col("node_id").alias("dst"), F.col("label").alias("to_label")), "dst", "left")
         .select(F.coalesce("from_label", F.concat(F.lit("node_"), "src")).alias("from_label"),
@@ -92,7 +92,7 @@ def zoom_in(graph: Graph, label: str) -> DataFrame:
     return graph.nodes.where(F.col("parent") == node).select("node_id", "label", "node_type")
 
 
-def zoom_out(graph: Graph) -> DataFrame:
+def zoom_out(graph: Graph, ids: bool = False) -> DataFrame:
     """Every node with its direct parent, or null."""
     up = graph.nodes.select(F.col("node_id").alias("parent"), F.col("label").alias("parent_label"))
     return graph.nodes.join(up, "parent", "left").select("node_id", "label", "parent_label")
@@ -112,8 +112,9 @@ def aggregate(graph: Graph) -> DataFrame:
     )
 
 
-#: Relations of one family are partly alike.
+# Relations of one family are partly alike, and so are the two states.
 FAMILIES = [("cause", "enable", "condition"), ("data_dep", "control_dep", "sequence")]
+STATES = ("etat_local", "etat_global")
 
 
 def analogy(graph: Graph, a: str, b: str, least: float = 0.3) -> DataFrame:
@@ -132,8 +133,7 @@ def analogy(graph: Graph, a: str, b: str, least: float = 0.3) -> DataFrame:
     for family in FAMILIES:
         kin = F.when(F.col("relation").isin(*family) & F.col("p_relation").isin(*family), 0.6).otherwise(kin)
     relation = F.when(F.col("relation") == F.col("p_relation"), 1.0).otherwise(kin)
-    states = ("etat_local", "etat_global")
-    alike = lambda x, y: F.when(F.col(x) == F.col(y), 1.0).when(F.col(x).isin(*states) & F.col(y).isin(*states), 0.5).otherwise(0.0)
+    alike = lambda x, y: F.when(F.col(x) == F.col(y), 1.0).when(F.col(x).isin(*STATES) & F.col(y).isin(*STATES), 0.5).otherwise(0.0)
     score = (
         0.4 * relation + 0.3 * (alike("from_type", "p_from_type") + alike("to_type", "p_to_type")) / 2
         + 0.2 * (1 - F.least(F.lit(1.0), F.abs(F.col("confidence") - F.col("p_confidence"))))
@@ -146,22 +146,43 @@ def analogy(graph: Graph, a: str, b: str, least: float = 0.3) -> DataFrame:
     )
 
 
-def diagnostics(graph: Graph, low: float = 0.3) -> DataFrame:
-    """(severity, kind, subject): what validation finds."""
-    e, ids = graph.edges, graph.nodes.select("node_id")
-    from pyspark.sql import Window
+def unresolved(ambiguities: DataFrame) -> DataFrame:
+    """One row (unresolved_nodes): how many ambiguities the text left, as it stands beside the gaps."""
+    return ambiguities.agg(F.count(F.lit(1)).alias("unresolved_nodes"))
+
 
-    pair = F.concat_ws("->", "src", "dst")
+def diagnostics(graph: Graph, low: float = 0.3) -> DataFrame:
+    """(severity, kind, subject, node_id, src, dst): what validation finds, with the ids concerned."""
+    e, nodes = graph.edges, graph.nodes.select("node_id", "label", "node_type", "temporal_index")
+    kind = graph.nodes.schema["node_id"].dataType
     known = graph.valid_edges().select("edge_idx")
     repeat = F.row_number().over(Window.partitionBy("src", "dst").orderBy("edge_idx"))
     touched = e.select(F.col("src").alias("node_id")).union(e.select("dst"))
-    say = lambda df, severity, kind, subject: df.select(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), subject.cast("string").alias("subject"))
+    several = nodes.agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(True).alias("several"))  # one row or none
+    times = nodes.select("node_id", F.col("temporal_index").alias("t"))
+    late = e.where("relation = 'sequence'").join(times.toDF("src", "t_src"), "src").join(times.toDF("dst", "t_dst"), "dst").where("t_src > t_dst")
+
+    def of_edge(df: DataFrame, severity: str, name: str) -> DataFrame:
+        return df.select(
+            F.lit(severity).alias("severity"), F.lit(name).alias("kind"), F.concat_ws("->", "src", "dst").alias("subject"),
+            F.col("src").alias("node_id"), "src", "dst",
+        )
+
+    def of_node(df: DataFrame, severity: str, name: str) -> DataFrame:
+        none = F.lit(None).cast(kind)
+        return df.select(
+            F.lit(severity).alias("severity"), F.lit(name).alias("kind"), F.col("node_id").cast("string").alias("subject"),
+            "node_id", none.alias("src"), none.alias("dst"),
+        )
+
     return (
-        say(e.join(known, "edge_idx", "left_anti"), "error", "dangling_edge", pair)
-        .union(say(e.where("src = dst"), "error", "self_loop", pair))
-        .union(say(ids.join(touched, "node_id", "left_anti"), "warning", "orphaned_node", F.col("node_id")))
-        .union(say(e.where(F.isnan("confidence") | (F.col("confidence") < low)), "warning", "low_confidence_edge", pair))
-        .union(say(graph.nodes.where("trim(label) = ''"), "error", "empty_label", F.col("node_id")))
-        .union(say(e.withColumn("k", repeat).where("k > 1"), "warning", "duplicate_edge", pair))
-        .union(say(e.where("provenance is null"), "warning", "missing_provenance", pair))
+        of_edge(e.join(known, "edge_idx", "left_anti"), "error", "dangling_edge")
+        .union(of_edge(e.where("src = dst"), "error", "self_loop"))
+        .union(of_node(nodes.join(touched, "node_id", "left_anti").join(F.broadcast(several)), "warning", "orphaned_node"))
+        .union(of_edge(e.where(F.isnan("confidence") | (F.col("confidence") < low)), "warning", "low_confidence_edge"))
+        .union(of_node(nodes.where("node_type = 'condition'").join(e.select(F.col("src").alias("node_id")), "node_id", "left_anti"), "warning", "dangling_condition"))
+        .union(of_node(nodes.where("trim(label) = ''"), "error", "empty_label"))
+        .union(of_edge(e.withColumn("k", repeat).where("k > 1"), "warning", "duplicate_edge"))
+        .union(of_edge(e.where("provenance is null"), "warning", "missing_provenance"))
+        .union(of_edge(late, "warning", "temporal_order_violation"))
     )

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..operators import reports, traverse
+from ..operators import middle, reports, traverse
 from .graph import Graph
 
 
@@ -47,34 +47,27 @@ def parse(text: str) -> Query:
     raise QueryParseError(f"{text!r}: expected one of {', '.join(sorted(NONE | ONE | TWO | {'DENSITY'}))}")
 
 
+def _of_node(rows: DataFrame, graph: Graph, label: str) -> DataFrame:
+    """The rows of the node that a label means; two nodes may share a label, so it is told by its id."""
+    return rows.where(rows["node_id"] == graph.best(label)).drop("node_id")
+
+
 def run(graph: Graph, text: str) -> DataFrame:
-    """Answer a question; verbs that are not built yet raise NotImplementedError."""
+    """Answer a question of any of the verbs."""
     q = parse(text)
-    if q.verb in ("WHY", "WHAT", "EXPLAIN"):
-        return getattr(traverse, q.verb.lower())(graph, *q.args)
-    if q.verb == "DO":
-        return traverse.intervene(graph, *q.args)
-    if q.verb in ("CHAIN", "CHAIN_T"):
-        return traverse.chain(graph, *q.args)
-    if q.verb == "DELAY":
-        return traverse.delay(graph, *q.args)
-    if q.verb == "DIFF":
-        return traverse.difference(graph, *q.args)
-    if q.verb == "GAPS":
-        return reports.gaps(graph)
-    if q.verb == "ANALOGY":
-        return reports.analogy(graph, *q.args)
-    if q.verb == "ZOOM_IN":
-        return reports.zoom_in(graph, *q.args)
-    every = {"ZOOM_OUT": reports.zoom_out, "CENTRALITY": reports.centrality, "DENSITY": reports.density,
-             "COVERAGE": reports.coverage, "RELIABILITY": reports.reliability, "AGGREGATE": reports.aggregate}
+    walks = {
+        "WHY": traverse.why, "WHAT": traverse.what, "EXPLAIN": traverse.explain, "DO": traverse.intervene, "COUNTERFACTUAL": traverse.counterfactual,
+        "CHAIN": traverse.path, "CHAIN_T": traverse.temporal_chain, "BEFORE?": traverse.before, "DELAY": traverse.delay, "DIFF": traverse.difference,
+        "GAPS": reports.gaps, "ANALOGY": reports.analogy, "ZOOM_IN": reports.zoom_in, "CYCLES": middle.cycles, "SPOF": middle.spof,
+    }
+    if q.verb in walks:
+        return walks[q.verb](graph, *q.args)
+    every = {"ZOOM_OUT": reports.zoom_out, "CENTRALITY": reports.centrality, "COVERAGE": reports.coverage, "RELIABILITY": reports.reliability}
     if q.verb in every:
-        found = every[q.verb](graph)
-        if not q.args:
-            return found
+        return _of_node(every[q.verb](graph, ids=True), graph, q.args[0])
+    if q.verb == "AGGREGATE":
         node = graph.best(q.args[0])
-        if q.verb == "AGGREGATE":
-            return found.where(found["parent"] == node)
-        label = graph.nodes.where(graph.nodes["node_id"] == node).head().label
-        return found.where(found["label"] == label)
-    raise NotImplementedError(q.verb)
+        found = reports.aggregate(graph)
+        return found.where(found["parent"] == node)
+    found = reports.density(graph, ids=True)
+    return _of_node(found, graph, q.args[0]) if q.args else found.select("n_nodes", "n_edges", "density").distinct()

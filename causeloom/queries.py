@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import queries_graph
 from .operators import curation, evaluation, reports, traverse
 from .sources import derived
 from .sources.derived import table
@@ -16,13 +17,14 @@ def _scored(spark, sf_dir):
 def queries() -> dict:
     flow, land, chain = derived.event_flow, derived.geography, derived.supply
     return {
+        **queries_graph.queries(),
         "centrality": lambda s, d: reports.centrality(flow(s, d)),
         "density": lambda s, d: reports.density(flow(s, d)),
         "coverage": lambda s, d: reports.coverage(flow(s, d)),
         "reliability": lambda s, d: reports.reliability(flow(s, d)),
         "gaps": lambda s, d: reports.gaps(flow(s, d)),
         "analogy": lambda s, d: reports.analogy(flow(s, d), "view", "purchase"),
-        "diagnostics": lambda s, d: reports.diagnostics(flow(s, d)),
+        "diagnostics": lambda s, d: reports.diagnostics(flow(s, d)).select("severity", "kind", "subject"),
         "zoom_in": lambda s, d: reports.zoom_in(land(s, d), "europe"),
         "zoom_out": lambda s, d: reports.zoom_out(land(s, d)),
         "aggregate": lambda s, d: reports.aggregate(land(s, d)),
@@ -84,6 +86,7 @@ FROM (SELECT c, sum(g) AS support, sum(p) AS said, sum(t) AS hit FROM (
 def oracle_sql() -> dict[str, str]:
     direct = "FROM edges WHERE src = 'view' AND dst = 'purchase'"
     return {
+        **queries_graph.oracle_sql(),
         "centrality": _FLOW + """, s AS (
           SELECT label, coalesce((SELECT count(*) FROM edges WHERE dst = label), 0) AS degree_in,
                  coalesce((SELECT count(*) FROM edges WHERE src = label), 0) AS degree_out,
@@ -134,8 +137,10 @@ def oracle_sql() -> dict[str, str]:
         "intervene": _FLOW + """SELECT 'severed' AS part, src AS label FROM edges WHERE dst = 'purchase'
           UNION ALL SELECT 'effect', dst FROM edges WHERE src = 'purchase' AND dst <> 'purchase'""",
         "chain": _FLOW + f"SELECT 1 AS hop, src, dst, relation, confidence, gap_min, gap_max {direct}",
-        "delay": _FLOW + f"SELECT count(*) AS hops, sum(gap_min)::BIGINT AS gap_min, sum(gap_max)::BIGINT AS gap_max {direct}",
-        "difference": _FLOW + f"SELECT count(*) > 0 AS path_exists, round(1 - coalesce(min(confidence), 0), 6) AS gap {direct}",
+        "delay": _FLOW + f"""SELECT count(*) > 0 AS found, count(*) AS hops, sum(gap_min)::BIGINT AS gap_min, sum(gap_max)::BIGINT AS gap_max, (SELECT y.i - x.i FROM
+          (SELECT row_number() OVER (ORDER BY label) AS i, label FROM nodes) x, (SELECT row_number() OVER (ORDER BY label) AS i, label FROM nodes) y
+          WHERE x.label = 'view' AND y.label = 'purchase')::BIGINT AS index_delta {direct}""",
+        "difference": _FLOW + f"SELECT count(*) > 0 AS path_exists, round(coalesce(min(confidence), 0), 6) AS observed, round(1 - coalesce(min(confidence), 0), 6) AS gap {direct}",
         "strip_html": r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages""",
         "first_of_equal": """SELECT md5(lower(trim(coalesce(text, '')))) AS key, min(doc_id) AS id, count(*) AS n FROM documents GROUP BY 1""",
         "new_urls": "SELECT sha256(url) AS url_hash, min(page_id) AS page_id FROM pages WHERE url IS NOT NULL GROUP BY 1",

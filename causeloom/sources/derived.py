@@ -91,3 +91,43 @@ def supply(spark: SparkSession, sf_dir: str) -> Graph:
         F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("temporal_index"),
     )
     return Graph(nodes, edges)
+
+
+#: Edges of ``nation_web`` by rule: which nations have one, where it goes (from the key), its relation.
+WEB = [
+    ("k % 5 <> 4", "k + 1", "cause"), ("k % 5 IN (0, 2)", "k + 2", "enable"), ("k % 5 = 4 AND k < 24", "k + 1", "sequence"),
+    ("k IN (9, 19)", "k - 4", "CASE WHEN k = 9 THEN 'prevent' ELSE 'concession' END"), ("k = 2", "k", "cause"),
+    ("k % 5 IN (1, 2)", "k + 4 - k % 5", "joint_cause"), ("k % 5 = 0", "k + 3", "mediated_cause"), ("k = 0", "k + 1", "enable"),
+    ("k = 22", "99", "cause"),
+]
+
+
+def web_sql() -> str:
+    """Nodes and edges of ``nation_web`` as SQL over ``nation``, as Spark and DuckDB read it."""
+    arms = " UNION ALL ".join(
+        f"SELECT {r} AS rule, k, {to} AS dst, {kind if ' ' in kind else repr(kind)} AS relation FROM base WHERE {where}" for r, (where, to, kind) in enumerate(WEB)
+    )
+    return f"""
+WITH base AS (SELECT CAST(n_nationkey AS BIGINT) AS k, n_name FROM nation),
+arms AS ({arms}),
+web_nodes AS (
+  SELECT k AS node_id, CASE WHEN k = 13 THEN ' ' ELSE n_name END AS label,
+         CASE WHEN k % 4 = 0 THEN 'etat_local' WHEN k % 4 = 1 THEN 'processus' WHEN k % 4 = 2 THEN 'condition' ELSE 'etat_global' END AS node_type,
+         CAST(NULL AS BIGINT) AS parent, CASE WHEN k % 7 <> 3 THEN CAST(k AS INT) END AS temporal_index FROM base
+  UNION ALL SELECT 50, 'loner', 'condition', NULL, 0),
+web_edges AS (
+  SELECT CAST(rule * 100 + k AS BIGINT) AS edge_idx, k AS src, CAST(dst AS BIGINT) AS dst, relation,
+         CAST(0.2 AS DOUBLE) + CAST((k * 7 + rule * 3) % 60 AS DOUBLE) / 100 AS confidence,
+         CASE WHEN (k + rule) % 3 <> 0 THEN CAST(k % 4 AS BIGINT) END AS gap_min, CASE WHEN (k + rule) % 3 <> 0 THEN CAST(k % 4 + rule AS BIGINT) END AS gap_max,
+         CASE WHEN k % 2 = 0 THEN 'nation' END AS provenance, (k + rule) % 11 = 0 AS negated,
+         CASE WHEN relation = 'joint_cause' THEN concat('g', CAST(k - k % 5 AS VARCHAR(9))) END AS joint_group,
+         CASE WHEN relation = 'mediated_cause' THEN k + 2 END AS third_node
+  FROM arms)"""
+
+
+def nation_web(spark: SparkSession, sf_dir: str) -> Graph:
+    """Five blocks of nations in a row, with cycles, parallel, joint, mediated and dangling edges, a self-loop and a lone node."""
+    view = f"nation_web_{abs(hash(sf_dir))}"
+    table(spark, sf_dir, "nation").createOrReplaceTempView(view)
+    body = web_sql().replace("FROM nation)", f"FROM {view})").replace("VARCHAR(9)", "STRING")
+    return Graph(spark.sql(body + " SELECT * FROM web_nodes"), spark.sql(body + " SELECT * FROM web_edges"))

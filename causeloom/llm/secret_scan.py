@@ -6,12 +6,11 @@ lower-case hexadecimal digits.  Matches are leftmost and do not overlap within a
 kind; spans are code points, the end exclusive, of the whole match.
 
 Battery.  Every run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` with a digit
-and a letter is a candidate.  Its encoding is inferred from its characters (decimal, hex,
-base32, base64 ...) and gives the alphabet that a random string would use.  Three
+and a letter is a candidate; strings of letters or of digits alone are words and numbers
+too often and are not tested.  Its encoding is inferred from its characters (hex, base32, base64 ...) and gives the alphabet that a random string would use.  Three
 tests follow, all against "drawn at random from the alphabet":
 
-* chi-squared: are the alphabet's symbols used alike (each by its quarter of the
-  alphabet, so that short strings have enough in each cell);
+* chi-squared: are the alphabet's symbols used alike, over all its symbols;
 * runs: do symbols of the lower and the upper half alternate as often as by chance;
 * serial correlation: are neighbouring symbols uncorrelated.
 
@@ -32,18 +31,19 @@ The counts are over the whole corpus; a table of at most classes x bins rows (so
 
 All but the fit is DataFrame functions.  Defined results: a null or empty text has no
 spans; repeated rows are scanned each; an empty table gives no rows; texts are
-scanned whole; further columns stay.
+scanned whole, in time almost linear in their matches; further columns stay, those named ``base`` or ``spans``
+as ``base_input`` and ``spans_input``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from math import erfc
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import apart, fixed, sums_before
 from .staging import stage
 
 # The base patterns, in the order in which kinds are listed.
@@ -72,21 +72,19 @@ APART, NARROW, WIDE, PRIOR, GAIN = -1.5, 0.5, 4.0, 5.0, 4.0
 
 def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     """Spans of the matches for which ``keep(match)`` holds, from the gaps between all matches."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,s:int,e:int,m:string>>").alias("found"))
-    steps = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-
-    def step(state, x):
-        begin = state["at"] + x["g"]
-        end = begin + F.length(x["h"])
-        one = F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("s"), end.alias("e"), x["h"].alias("m")))
-        return F.struct(
-            F.coalesce(end, begin).alias("at"),
-            F.when(x["h"].isNotNull() & keep(x["h"]), F.concat(state["found"], one)).otherwise(state["found"]).alias("found"),
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    both = F.struct(hits.alias("hits"), gaps.alias("gaps"))
+
+    def placed(x: Column) -> Column:
+        before = sums_before(F.zip_with(x["hits"], F.slice(x["gaps"], 1, F.size(x["hits"])), lambda h, g: F.length(h) + g))
+        spans = F.transform(
+            F.arrays_zip(x["hits"].alias("m"), before.alias("b"), F.slice(x["gaps"], 1, F.size(x["hits"])).alias("g")),
+            lambda y: F.struct(F.lit(kind).alias("kind"), (y["b"] + y["g"]).alias("s"), (y["b"] + y["g"] + F.length(y["m"])).alias("e"), y["m"].alias("m")),
         )
+        return F.filter(spans, lambda y: keep(y["m"]))
 
-    return F.aggregate(steps, start, step, lambda s: s["found"])
+    return F.element_at(F.transform(F.array(both), placed), 1)
 
 
 def _empty() -> Column:
@@ -115,7 +113,6 @@ def candidate_spans(text: Column) -> Column:
 # Inferred encodings, the characters that show them, their alphabets in order.
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = [
-    ("decimal", r"^[0-9]+=*$", _DIGITS),
     ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF"),
     ("base32", r"^[A-Z2-7]+=*$", _UPPER + "234567"),
@@ -148,27 +145,26 @@ def _sum(array: Column) -> Column:
 
 def battery(candidates: DataFrame) -> DataFrame:
     """Adds encoding, the three scores and z to candidates with a match ``m``."""
-    body = F.regexp_replace("m", "=+$", "")
-    c = candidates.withColumn("encoding", encoding_of(F.col("m"))).withColumn("alphabet", _alphabet(F.col("encoding")))
-    c = c.withColumn("size", F.length("alphabet").cast("double"))
+    c = fixed(candidates, encoding=encoding_of(F.col("m")), body=F.rtrim("m", F.lit("=")))
+    c = fixed(c, alphabet=_alphabet(F.col("encoding")))
     symbols = F.filter(
-        F.transform(F.split(body, ""), lambda ch: F.position(ch, F.col("alphabet")).cast("double")), lambda p: p > 0
+        F.transform(F.split("body", ""), lambda ch: F.position(ch, F.col("alphabet")).cast("double")), lambda p: p > 0
     )
-    c = c.withColumn("x", symbols).withColumn("n", F.size("x").cast("double")).where("n >= 8")
+    c = fixed(c, size=F.length("alphabet").cast("double"), x=symbols)
+    c = c.withColumn("n", F.size("x").cast("double")).where("n >= 8")
     mean = (F.col("size") + 1) / 2
     variance = (F.col("size") * F.col("size") - 1) / 12
-    quarter = F.transform("x", lambda p: F.floor((p - 1) * 4 / F.col("size")))
-    cell = [F.size(F.array_remove(quarter, k)) for k in range(4)]  # how many are elsewhere
-    cell = [F.col("n") - elsewhere for elsewhere in cell]
-    width = [
-        F.floor((k + 1) * F.col("size") / 4 - 1e-9).cast("double") - F.floor(k * F.col("size") / 4 - 1e-9).cast("double")
-        for k in range(4)
-    ]
-    expected = [F.col("n") * w / F.col("size") for w in width]
-    chi = reduce(lambda a, b: a + b, [(o - e) * (o - e) / e for o, e in zip(cell, expected)])
-    # Wilson-Hilferty: the cube root of chi-squared over its 3 degrees of freedom is nearly normal
-    c = c.withColumn("z_chi", (1 - F.lit(2 / 27) - F.pow(chi / 3, F.lit(1 / 3))) / F.sqrt(F.lit(2 / 27)))
-    c = c.withColumn("half", F.transform("x", lambda p: F.when(p > mean, 1.0).otherwise(0.0)))
+    # the squares of the symbols' counts, summed over the sorted symbols
+    run = F.struct(F.lit(-1.0).alias("p"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sum"))
+    squares = F.aggregate(
+        F.array_sort("x"), run,
+        lambda r, p: F.when(r["p"] == p, F.struct(p.alias("p"), (r["k"] + 1).alias("k"), (r["sum"] + 2 * r["k"] + 1).alias("sum")))
+        .otherwise(F.struct(p.alias("p"), F.lit(1.0).alias("k"), (r["sum"] + 1).alias("sum"))), lambda r: r["sum"],
+    )
+    chi, free = F.col("size") * squares / F.col("n") - F.col("n"), F.col("size") - 1
+    # Wilson-Hilferty: the cube root of chi-squared over its degrees of freedom is nearly normal
+    c = c.withColumn("z_chi", (1 - 2 / (9 * free) - F.pow(chi / free, F.lit(1 / 3))) / F.sqrt(2 / (9 * free)))
+    c = fixed(c, half=F.transform("x", lambda p: F.when(p > mean, 1.0).otherwise(0.0)))
     c = c.withColumn("above", _sum(F.col("half")))
     changes = _sum(F.zip_with(
         F.slice("half", 2, F.size("half") - 1), F.slice("half", 1, F.size("half") - 1), lambda a, b: F.abs(a - b)
@@ -184,7 +180,7 @@ def battery(candidates: DataFrame) -> DataFrame:
     c = c.withColumn("z_serial", 1.0 - F.abs(serial) * 1.25)
     # two-sided scores: 1 - 1.25 |z| has mean 0 for random strings and falls with any departure
     return c.withColumn("z", (F.col("z_chi") + F.col("z_runs") + F.col("z_serial")) / UNIT).drop(
-        "alphabet", "size", "x", "n", "half", "above"
+        "alphabet", "body", "size", "x", "n", "half", "above"
     )
 
 
@@ -250,6 +246,7 @@ def scan(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFra
     The scan is staged once with the raw spans, a few bytes for each row; the
     corpus-wide thresholds are then joined back to it.
     """
+    docs = apart(docs, ["base", "spans"], own=[text_col])
     others = [c for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = base_spans(text)
@@ -261,7 +258,8 @@ def scan(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFra
     scored = battery(
         raw.where(F.size("__candidates") > 0)
         .select("__row", F.explode("__candidates").alias("c")).select("__row", "c.s", "c.e", "c.m")
-    ).withColumn("class", length_class(F.col("m")))
+    ).withColumn("class", length_class(F.col("m"))).select("__row", "s", "e", "encoding", "class", "z")
+    scored = stage(scored, "secret-scores")  # read twice: for the thresholds and by them
     accepted = scored.join(F.broadcast(thresholds(scored, rate)), ["encoding", "class"]).where("z >= cut")
     added = accepted.groupBy("__row").agg(
         F.collect_list(F.struct(F.lit("random").alias("kind"), "s", "e")).alias("__added")  # of one text

@@ -12,20 +12,29 @@ fall together:
   an address, date or grouped card that follows; all digits are permuted.  Another
   number behind a phone can't be told from its end, except after country code 1.
 * ``ip``: four numbers up to 255; the 32 bits are permuted.
-* ``date``: a date that exists, 1900 to 2099, written ``y-m-d``, ``y/m/d``, ``d.m.y`` or
-  ``d/m/y``; its day is permuted among the 73,049 days of these years.
+* ``date``: a date that exists, 1900 to 2099, written ``y-m-d``, ``y/m/d``, ``d.m.y``, ``d/m/y``
+  or, if it is none, ``m/d/y``; it is permuted among the dates that are written with as many
+  digits for day and month.  All 73,049 days are one set where both have two digits;
+  in the other forms days from 29 on are permuted among themselves, likewise
+  29 February.
 * ``email``: a name made of the address's keyed hash at ``example.invalid``; this one
-  is no permutation, but equal addresses stay equal.
+  is no permutation, but equal addresses stay equal.  An address ends at its last dot with
+  two letters behind it.
 
 The permutations are balanced Feistel networks of ``ROUNDS`` rounds on pairs of
 residues: for d digits on Z(10^a) x Z(10^b) with a + b = d, for addresses on
-Z(2^16) x Z(2^16), for days on Z(319) x Z(229), whose product is the number of days.
+Z(2^16) x Z(2^16), for days on Z(319) x Z(229), whose product is the number of days, for
+dates of other forms on years x (months x days).
 Round functions are SHA-256 of key, kind, round and half.
 
 All of it is DataFrame functions in one map over the rows; nothing is shuffled.
 Defined results: null texts stay null; empty texts stay empty; texts are scanned
 whole; values that fail validation stay as they are; rows that repeat give equal
-results; an empty table gives no rows; further columns stay.
+results; an empty table gives no rows; further columns stay, one named ``found`` as
+``found_input``.  Patterns are linear in the text: no part is tried from every place of a
+run, and repeated groups never give back what they took, so neither long runs nor
+many matches exhaust the stack.  The key is a literal of the plan; a session that
+shows plans to others should redact it (``spark.sql.redaction.string.regex``).
 """
 
 from __future__ import annotations
@@ -35,12 +44,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import BLOCK, apart, sums_before
+
 ROUNDS = 8
-#: Key of the registered query; a real run passes its own.
-KEY = "a key for tests only"
+#: Key of the registered query, which works on invented data; a run on real data passes its own.
+_QUERY_KEY = "a key for tests only"
 
 # The patterns that find each kind; a match is then validated by ``kind_of``.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+#: An address in a match of ``EMAIL``; what follows its last dot with two letters is none of it.
+ADDRESS = r"^[^@]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])"
 # A value that a phone or card before it must not swallow.
@@ -55,7 +68,7 @@ _PLAIN = _NEXT.replace("(?![", rf"(?![ .()-]?[ ()]{_GROUPED})(?![", 1)
 #: Numbers of country code 1 have 11 digits.
 PHONE = rf"(?<![0-9+])(?:\+1{_NEXT}{{10}}(?![0-9])|\+[0-9]{_NEXT}{{7}}{_PLAIN}{{0,7}}(?![0-9]))"
 #: Numbers in a row, with 13 digits or more at its start; ``cards_in`` finds the cards among them.
-CARD = rf"(?<![0-9+])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]+(?:(?:-| (?!{_OWN}))[0-9]+)*"
+CARD = rf"(?<![0-9+])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:(?:-| (?!{_OWN}))[0-9]++)*+"
 ANY = "|".join([EMAIL, IP, DATE, PHONE, CARD])
 KINDS = ["email", "ip", "date", "phone", "card"]
 _DAYS = (319, 229)  # 1900-01-01 to 2099-12-31
@@ -138,21 +151,70 @@ def permuted_ip(key: Column, ip: Column) -> Column:
 
 
 def _date_of(m: Column) -> Column:
+    """(year, month, day, order, month's and day's digits) of a date that exists, or null."""
     part = F.split(m, "[-./]")
-    first = F.length(F.get(part, F.lit(0))) == 4
-    text = F.concat_ws("-", F.when(first, F.get(part, F.lit(0))).otherwise(F.get(part, F.lit(2))), F.lpad(F.get(part, F.lit(1)), 2, "0"), F.lpad(F.when(first, F.get(part, F.lit(2))).otherwise(F.get(part, F.lit(0))), 2, "0"))
-    day = F.try_to_date(text, "yyyy-MM-dd")
-    return F.when((F.year(day) >= 1900) & (F.year(day) <= 2099), day)
+    get = lambda k: F.get(part, F.lit(k))
+    ymd = F.length(get(0)) == 4
+
+    def read(order: str, y: int, a: int, b: int) -> Column:
+        year, month, day = get(y).cast("int"), get(a).cast("int"), get(b).cast("int")
+        exists = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd").isNotNull()
+        one = F.struct(
+            year.alias("y"), month.alias("m"), day.alias("d"), F.lit(order).alias("order"),
+            F.length(get(a)).alias("mw"), F.length(get(b)).alias("dw"),
+        )
+        return F.when(year.between(1900, 2099) & exists, one)
+
+    slash = F.instr(m, "/") > 0
+    return F.when(ymd, read("ymd", 0, 1, 2)).otherwise(F.coalesce(read("dmy", 2, 1, 0), F.when(slash, read("mdy", 2, 0, 1))))
+
+
+#: Pairs of month and day from the 29th on that every year has, beside those of February.
+_LATE = [(m, d) for m in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12) for d in (29, 30, 31) if d < 31 or m in (1, 3, 5, 7, 8, 10, 12)]
 
 
 def permuted_date(key: Column, m: Column) -> Column:
-    day = F.datediff(_date_of(m), F.lit("1900-01-01").cast("date")).cast("long")
-    done = permute(key, "date", F.floor(day / _DAYS[1]), day % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]))
-    moved = _nest(done, lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * _DAYS[1] + s["r"]).cast("int")))
-    mark = F.regexp_extract(m, "[-./]", 0)
-    return F.when(
-        m.rlike("^[0-9]{4}"), F.regexp_replace(F.date_format(moved, "yyyy-MM-dd"), F.lit("-"), mark)
-    ).otherwise(F.regexp_replace(F.date_format(moved, "dd-MM-yyyy"), F.lit("-"), mark))
+    def written(t: Column, y: Column, month: Column, day: Column) -> Column:
+        mark = F.regexp_extract(m, "[-./]", 0)
+        year, month, day = y.cast("string"), F.lpad(month.cast("string"), t["mw"], "0"), F.lpad(day.cast("string"), t["dw"], "0")
+        return F.when(t["order"] == "ymd", F.concat(year, mark, month, mark, day)).when(
+            t["order"] == "dmy", F.concat(day, mark, month, mark, year)
+        ).otherwise(F.concat(month, mark, day, mark, year))
+
+    def moved(t: Column) -> Column:
+        form = F.concat_ws(":", F.lit("date"), F.when(t["order"] == "mdy", "mdy").otherwise("day"), t["mw"], t["dw"])
+        secret = F.concat_ws("|", key, form)
+        years = lambda left: (left + 1900)
+        # both of two digits: all days
+        n = F.datediff(F.make_date(t["y"], t["m"], t["d"]), F.lit("1900-01-01").cast("date")).cast("long")
+        whole = _nest(
+            permute(key, "date", F.floor(n / _DAYS[1]), n % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1])),
+            lambda s: _nest(F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * _DAYS[1] + s["r"]).cast("int")), lambda x: written(t, F.year(x), F.month(x), F.dayofmonth(x))),
+        )
+        # months and days up to the 28th that the digits, and the order, can say
+        months = F.when(t["mw"] == 1, 9).otherwise(12)
+        first = F.when(t["order"] == "mdy", 13).otherwise(1)
+        days = F.when(t["dw"] == 1, 9).otherwise(28) - first + 1
+        early = _nest(
+            permute(secret, "date", t["y"] - 1900, (t["m"] - 1) * days + t["d"] - first, F.lit(200), months * days),
+            lambda s: written(t, years(s["l"]), F.floor(s["r"] / days) + 1, s["r"] % days + first),
+        )
+        pairs = F.filter(F.array(*[F.struct(F.lit(x).alias("m"), F.lit(y).alias("d")) for x, y in _LATE]), lambda p: (t["mw"] == 2) | (p["m"] < 10))
+        place = F.array_position(F.transform(pairs, lambda p: p["m"] * 100 + p["d"]), t["m"] * 100 + t["d"]) - 1
+        late = _nest(
+            permute(secret, "late", t["y"] - 1900, place, F.lit(200), F.size(pairs)),
+            lambda s: _nest(F.element_at(pairs, (s["r"] + 1).cast("int")), lambda p: written(t, years(s["l"]), p["m"], p["d"])),
+        )
+        leap = _nest(
+            permute(secret, "leap", F.floor((t["y"] - 1904) / 4 / 7), F.floor((t["y"] - 1904) / 4) % 7, F.lit(7), F.lit(7)),
+            lambda s: written(t, 1904 + 4 * (s["l"] * 7 + s["r"]), t["m"], t["d"]),
+        )
+        return (
+            F.when((t["mw"] == 2) & (t["dw"] == 2) & (t["order"] != "mdy"), whole)
+            .when(t["d"] <= 28, early).when(t["m"] == 2, leap).otherwise(late)
+        )
+
+    return _nest(_date_of(m), moved)
 
 
 def kind_of(m: Column) -> Column:
@@ -160,8 +222,7 @@ def kind_of(m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     octets = F.split(m, r"\.")
     return (
-        F.when(F.instr(m, "@") > 0, "email")
-        .when(m.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), "ip"))
+        F.when(m.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), "ip"))
         .when(m.rlike(r"^[0-9]{1,4}([-/.])[0-9]{1,2}\1[0-9]{1,4}$"), F.when(_date_of(m).isNotNull(), "date"))
         .when(F.substring(m, 1, 1) == "+", "phone")
         .when(F.length(digits).between(13, 19) & luhn(digits), "card")
@@ -170,35 +231,57 @@ def kind_of(m: Column) -> Column:
 
 def cards_in(gap: Column, row: Column) -> Column:
     """The cards of a row of numbers: from each number on itself or the longest that validates, then on behind it; the last entry is what follows."""
-    none = F.array().cast("array<struct<gap:string,m:string,kind:string>>")
-
-    def step(s, at):
-        def valid(digits):
-            return F.length(digits).between(13, 19) & luhn(digits)
-
-        def card(text):  # a later number that is a card by itself is none's end
-            own = F.regexp_extract(text, "[ -]([0-9]{13,})$", 1)
-            return _nest(F.regexp_replace(text, "[^0-9]", ""), lambda d: F.when(F.length(d).between(13, 19), luhn(d) & ~F.when(own != "", valid(own)).otherwise(False)).otherwise(False))
-
-        def longest(ahead):
-            first = F.length(F.regexp_extract(ahead, "^[0-9]+", 0))
-            ends = F.filter(F.sequence(F.lit(13), F.length(ahead)), lambda n: ahead.substr(n, F.lit(2)).rlike("^[0-9](?![0-9])"))
-            cards = F.filter(ends, lambda n: card(ahead.substr(F.lit(1), n)))
-            return _nest(cards, lambda c: F.when(F.array_contains(c, first), first).otherwise(F.array_max(c)))
-
-        def taken(n):
-            one = F.struct(row.substr(s["at"], at - s["at"]).alias("gap"), row.substr(at, n).alias("m"), F.lit("card").alias("kind"))
-            return F.when(n.isNull(), s).otherwise(F.struct((at + n).alias("at"), F.concat(s["out"], F.array(one)).alias("out")))
-
-        # 19 digits with 18 separators, and one character more
-        best = _nest(row.substr(at, F.lit(38)), lambda ahead: F.when(F.length(ahead) >= 13, longest(ahead)))
-        return F.when(at < s["at"], s).otherwise(_nest(best, taken))
-
-    firsts = F.filter(F.sequence(F.lit(1), F.length(row)), lambda k: F.concat(F.lit(" "), row).substr(k, F.lit(2)).rlike("[^0-9][0-9]"))
-    done = F.aggregate(firsts, F.struct(F.lit(1).alias("at"), none.alias("out")), step)
-    last = lambda s: F.concat(s["out"], F.array(F.struct(row.substr(s["at"], F.length(row)).alias("gap"), F.lit(None).cast("string").alias("m"), F.lit(None).cast("string").alias("kind"))))
-    return _nest(_nest(done, last), lambda out: F.transform(out, lambda x, i: F.struct(
-        F.when(i == 0, F.concat(gap, x["gap"])).otherwise(x["gap"]).alias("gap"), x["m"].alias("m"), x["kind"].alias("kind"))))
+    valid = lambda digits: F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False)
+    number = lambda token: F.regexp_replace(token, "^[ -]", "")
+
+    def count(ahead: Column) -> Column:
+        """How many of the numbers ahead, 19 at most, are a card from the first one on; 0 for none."""
+        ends = F.sequence(F.lit(1), F.size(ahead))
+
+        def card(n: Column) -> Column:  # a later number that is a card by itself is none's end
+            digits = F.array_join(F.transform(F.slice(ahead, 1, n), number), "")
+            return valid(digits) & ((n == 1) | ~valid(number(F.element_at(ahead, n))))
+
+        return F.when(card(F.lit(1)), F.lit(1)).otherwise(F.coalesce(F.array_max(F.filter(ends, card)), F.lit(0)))
+
+    def chosen(x: Column) -> Column:
+        """Places of the cards, from 1 on: the numbers are gone through in blocks, so that little is copied at a step."""
+        none = F.array().cast("array<int>")
+
+        def step(s, k):
+            n = F.element_at(x["n"], k)
+            return F.when((k < s["free"]) | (n == 0), s).otherwise(F.struct((k + n).alias("free"), F.concat(s["out"], F.array(k)).alias("out")))
+
+        def block(s, b):
+            last = F.least(b + BLOCK - 1, F.size(x["n"]))
+            done = F.aggregate(F.sequence(b, last), F.struct(s["free"].alias("free"), none.alias("out")), step)
+            return _nest(done, lambda d: F.struct(d["free"].alias("free"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+
+        begin = F.struct(F.lit(1).alias("free"), F.array().cast("array<array<int>>").alias("out"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(x["n"]), F.lit(BLOCK)), begin, block, lambda s: s["out"]))
+
+    def pieces(x: Column) -> Column:
+        tokens, at = x["tokens"], x["at"]
+        behind = lambda k: F.element_at(at, k) + F.element_at(x["n"], F.element_at(at, k))  # noqa: E731  the place behind card k
+        said = lambda a, b: F.array_join(F.slice(tokens, a, b - a), "")
+        one = lambda k: _nest(
+            F.struct(F.when(k == 1, 1).otherwise(behind(F.greatest(k - 1, F.lit(1)))).alias("from"), F.element_at(at, k).alias("at"), said(F.element_at(at, k), behind(k)).alias("m")),
+            lambda y: F.struct(
+                F.concat(F.when(k == 1, gap).otherwise(""), said(y["from"], y["at"]), F.regexp_extract(y["m"], "^[ -]?", 0)).alias("gap"),
+                number(y["m"]).alias("m"), F.lit("card").alias("kind"),
+            ),
+        )
+        size = F.size(at)
+        rest = F.when(size == 0, F.concat(gap, said(F.lit(1), F.size(tokens) + 1))).otherwise(said(behind(F.greatest(size, F.lit(1))), F.size(tokens) + 1))
+        last = F.struct(rest.alias("gap"), F.lit(None).cast("string").alias("m"), F.lit(None).cast("string").alias("kind"))
+        return F.when(size == 0, F.array(last)).otherwise(F.concat(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), one), F.array(last)))
+
+    tokens = F.regexp_extract_all(row, F.lit("[ -]?[0-9]+"), F.lit(0))
+    return _nest(tokens, lambda t: _nest(
+        F.transform(t, lambda _, k: count(F.slice(t, k + 1, F.lit(19)))), lambda n: _nest(
+            chosen(F.struct(n.alias("n"))), lambda at: pieces(F.struct(t.alias("tokens"), n.alias("n"), at.alias("at")))
+        )
+    ))
 
 
 def pseudonym(key: Column, kind: Column, m: Column) -> Column:
@@ -218,28 +301,33 @@ def find(text: Column) -> Column:
     """array<struct<gap, m, kind>>: the text cut at every match; the last entry has no match."""
     gaps = F.split(text, ANY, -1)
     hits = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    pieces = F.zip_with(gaps, hits, lambda g, m: F.when(m.rlike("^[0-9][0-9 -]*$") & ~m.rlike(f"^(?:{DATE})$"), cards_in(g, m)).otherwise(
-        F.array(F.struct(g.alias("gap"), m.alias("m"), kind_of(m).alias("kind")))
-    ))
+    one = lambda g, m, kind: F.struct(g.alias("gap"), m.alias("m"), kind.alias("kind"))
+    null = F.lit(None).cast("string")
+
+    def mail(g: Column, m: Column) -> Column:
+        return _nest(F.regexp_extract(m, ADDRESS, 0), lambda a: F.when(a == "", F.array(one(F.concat(g, m), null, null))).otherwise(
+            F.array(one(g, a, F.lit("email")), one(F.substr(m, F.length(a) + 1), null, null))
+        ))
+
+    pieces = F.zip_with(gaps, hits, lambda g, m: F.when(m.rlike("^[0-9][0-9 -]*+$") & ~m.rlike(f"^(?:{DATE})$"), cards_in(g, m)).when(
+        F.instr(m, "@") > 0, mail(g, m)
+    ).otherwise(F.array(one(g, m, kind_of(m)))))
     return F.flatten(pieces)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the text rewritten, and ``found``: (kind, start, end) of each value in the original text."""
+    docs = apart(docs, ["found"], own=[text_col])
     secret = F.lit(key)
     text = F.col(text_col)
-    some = text.rlike(ANY)
-    cut = docs.withColumn("__cut", F.when(some, find(text)))
+    cut = docs.withColumn("__cut", F.when(text.rlike(ANY), find(text)))
     rebuilt = F.array_join(F.transform("__cut", lambda x: F.concat(x["gap"], F.coalesce(pseudonym(secret, x["kind"], x["m"]), F.lit("")))), "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,s:int,e:int>>").alias("out"))
-
-    def step(s, x):
-        begin = s["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(x["kind"].alias("kind"), begin.alias("s"), end.alias("e")))
-        return F.struct(end.alias("at"), F.when(x["kind"].isNotNull(), F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
-
-    spans = F.aggregate("__cut", start, step, lambda s: s["out"])
+    sizes = F.transform("__cut", lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+    ends = F.transform(F.arrays_zip(F.col("__cut").alias("x"), sums_before(sizes).alias("b")), lambda y: F.struct(
+        y["x"]["kind"].alias("kind"), (y["b"] + F.length(y["x"]["gap"])).alias("s"),
+        (y["b"] + F.length(y["x"]["gap"]) + F.coalesce(F.length(y["x"]["m"]), F.lit(0))).alias("e"),
+    ))
+    spans = F.filter(ends, lambda y: y["kind"].isNotNull())
     return cut.withColumns({
         "found": F.when(F.col("__cut").isNotNull(), spans).otherwise(F.array().cast("array<struct<kind:string,s:int,e:int>>")),
         text_col: F.when(F.col("__cut").isNotNull(), rebuilt).otherwise(text),
@@ -248,7 +336,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = pseudonymise(docs)
+    done = pseudonymise(docs, _QUERY_KEY)
     count = [F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]  # noqa: B023
     spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
     return done.select("doc_id", *count, spans.alias("spans"), "text")

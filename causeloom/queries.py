@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import queries_graph
+from . import queries_graph, queries_session
 from .operators import curation, evaluation, reports, traverse
 from .sources import derived
 from .sources.derived import table
@@ -18,6 +18,7 @@ def queries() -> dict:
     flow, land, chain = derived.event_flow, derived.geography, derived.supply
     return {
         **queries_graph.queries(),
+        **queries_session.queries(),
         "centrality": lambda s, d: reports.centrality(flow(s, d)),
         "density": lambda s, d: reports.density(flow(s, d)),
         "coverage": lambda s, d: reports.coverage(flow(s, d)),
@@ -87,6 +88,7 @@ def oracle_sql() -> dict[str, str]:
     direct = "FROM edges WHERE src = 'view' AND dst = 'purchase'"
     return {
         **queries_graph.oracle_sql(),
+        **queries_session.oracle_sql(),
         "centrality": _FLOW + """, s AS (
           SELECT label, coalesce((SELECT count(*) FROM edges WHERE dst = label), 0) AS degree_in,
                  coalesce((SELECT count(*) FROM edges WHERE src = label), 0) AS degree_out,

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeloom.functions.labels import match_score, normalize_label, pascal_case
-from causeloom.operators import evaluation, reports, traverse
+from causeloom.operators import evaluation, export, middle, reports, traverse
 from causeloom.plans import language
-from causeloom.plans.graph import Graph, NodeNotFound, NoPath
+from causeloom.plans.graph import Graph, NodeNotFound, NoPath, TooLarge
 
 NODES = "node_id long, label string, node_type string, parent long, temporal_index int"
 EDGES = "edge_idx long, src long, dst long, relation string, confidence double, gap_min long, gap_max long, provenance string"
@@ -56,9 +56,10 @@ def test_breadth_first_order_on_random_multigraphs(spark, seed):
 def test_paths(spark):
     g = graph(spark, 4, [(0, 1), (1, 2)], lambda k: 0.9 - k / 10)
     assert [(r.src, r.dst) for r in traverse.chain(g, "node 0", "node 2").collect()] == [(0, 1), (1, 2)]
-    assert tuple(traverse.difference(g, "node 0", "node 2").head()) == (True, 0.2)
-    assert tuple(traverse.difference(g, "node 0", "node 3").head()) == (False, 1.0)
-    assert traverse.delay(g, "node 0", "node 0").head().gap_min == 0
+    assert tuple(traverse.difference(g, "node 0", "node 2").head()) == (True, 0.8, 0.2)
+    assert tuple(traverse.difference(g, "node 0", "node 3").head()) == (False, 0.0, 1.0)
+    assert tuple(traverse.difference(g, "node 0", "node 0").head()) == (True, 0.0, 1.0)
+    assert traverse.delay(g, "node 0", "node 0").head().gap_min == 0 and traverse.delay(g, "node 0", "node 3").head().gap_min is None
     with pytest.raises(NoPath):
         traverse.chain(g, "node 0", "node 3", strict=True)
     with pytest.raises(NodeNotFound):
@@ -68,6 +69,8 @@ def test_paths(spark):
 def test_diagnostics(spark):
     g = graph(spark, 3, [(0, 0), (0, 1), (0, 1), (0, 9)], lambda k: 0.2 if k == 1 else 0.5)
     got = {(r.kind, r.subject) for r in reports.diagnostics(g).where("kind <> 'missing_provenance'").collect()}
+    one = graph(spark, 1, [])
+    assert reports.diagnostics(one).collect() == [] and middle.spof(one).head().score == 0
     assert got == {("dangling_edge", "0->9"), ("self_loop", "0->0"), ("orphaned_node", "2"), ("low_confidence_edge", "0->1"), ("duplicate_edge", "0->1")}
 
 
@@ -83,6 +86,38 @@ def test_language(spark):
     g = graph(spark, 3, [(0, 1), (1, 2)])
     assert {r.node_id for r in language.run(g, "WHAT node 0?").collect()} == {1, 2}
     assert language.run(g, "CENTRALITY node 1").head().degree_in == 1
+    assert language.run(g, "COUNTERFACTUAL node 1").head().unique and language.run(g, "SPOF").head().node_id == 1
+    assert language.run(g, "CYCLES").collect() == [] and language.run(g, "CHAIN node 2 -> node 0").head().found is False
+    assert language.run(g, "BEFORE? node 0, node 2").head().a_before_b and language.run(g, "CHAIN_T node 0 -> node 2").head().found
+
+
+def test_strong_components_both_ways(spark):
+    for seed in range(2):
+        draw = random.Random(seed)
+        pairs = [(draw.randrange(9), draw.randrange(9)) for _ in range(14)]
+        g = graph(spark, 9, pairs)
+        reach = {(a, b) for a, b in pairs}
+        for k in range(9):
+            reach |= {(a, b) for a in range(9) for b in range(9) if (a, k) in reach and (k, b) in reach}
+        want = {a: min(b for b in range(9) if (a, b) in reach and (b, a) in reach) for a in range(9) if (a, a) in reach}
+        for links in (100, 0):
+            assert {r.node: r.component for r in middle.strong_components(g, links).collect()} == want
+
+
+def test_deep_chains_are_walked_to_their_end(spark):
+    g = graph(spark, 12, [(k, k + 1) for k in range(11)])
+    assert {r.node_id: r.depth for r in traverse.what(g, "node 0").collect()} == {k: k for k in range(1, 12)}
+
+
+def test_documents_round_trip(spark, tmp_path):
+    g = graph(spark, 3, [(0, 1), (1, 2)])
+    path = tmp_path / "graph.json"
+    path.write_text(export.as_document(g).head().json)
+    back = export.load(spark, str(path))
+    assert back.nodes.select("node_id", "label").collect() == g.nodes.select("node_id", "label").collect()
+    assert [(r.src, r.dst) for r in back.edges.orderBy("edge_idx").collect()] == [(0, 1), (1, 2)]
+    with pytest.raises(TooLarge):
+        export.load(spark, str(path), most=10)
 
 
 def test_evaluation(spark):

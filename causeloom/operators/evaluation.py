@@ -1,10 +1,28 @@
-"""Evaluation aggregates over (gold, predicted) rows."""
+"""Evaluation aggregates over (gold, predicted) rows, over graphs of sentences, and calibration."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bins of the calibration error; a confidence of exactly 1 falls in none.
+BINS = 10
+#: Temperatures that are tried.
+COOLEST, HOTTEST, STEPS = 0.1, 5.0, 50
+
+
+class LengthMismatch(ValueError):
+    """Gold and predicted rows don't pair up."""
+
+
+def paired(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """(key, gold, predicted) of two tables (key, label); refused if one has rows that the other lacks."""
+    both = gold.select(key, F.col("label").alias("gold")).join(predicted.select(key, F.col("label").alias("predicted")), key)
+    sizes = [df.count() for df in (gold, predicted, both)]
+    if len(set(sizes)) > 1:
+        raise LengthMismatch(f"gold {sizes[0]}, predicted {sizes[1]}, both {sizes[2]}")
+    return both
+
 
 def accuracy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("gold") == F.col("predicted")).cast("double")), 6).alias("accuracy"))
@@ -29,6 +47,131 @@ def per_class(rows: DataFrame) -> DataFrame:
     )
 
 
-def macro_f1(classes: DataFrame) -> DataFrame:
-    """Mean of the rounded F1 over classes with support."""
-    return classes.where("support > 0").agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
+def macro_f1(classes: DataFrame, only: list | None = None) -> DataFrame:
+    """Mean of the rounded F1 over classes with support, or those of a list among them."""
+    kept = classes.where("support > 0")
+    kept = kept if only is None else kept.where(F.col("class").isin(*only))
+    return kept.agg(F.round(F.coalesce(F.avg("f1"), F.lit(0.0)), 6).alias("macro_f1"))
+
+
+def report(classes: DataFrame) -> DataFrame:
+    """(class, line): each class as a line of text."""
+    line = F.format_string("%-16s %.3f  %.3f  %.3f  %d", F.col("class").cast("string"), "precision", "recall", "f1", "support")
+    return classes.select("class", line.alias("line"))
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.least(a, b) / F.greatest(b, F.lit(1))
+
+
+def _positional(pred: Column, gold: Column) -> Column:
+    same = F.size(F.filter(F.zip_with(pred, gold, lambda x, y: x.eqNullSafe(y)), lambda x: x))
+    return F.when(F.size(pred) != F.size(gold), F.lit(None).cast("double")).when(F.size(pred) == 0, 1.0).otherwise(same / F.size(pred))
+
+
+def graph_similarity(rows: DataFrame) -> DataFrame:
+    """Similarity of graphs given as arrays: pred_nodes, gold_nodes (types), pred_edges, gold_edges (relations).
+
+    Accuracies by place are null where the sizes differ; ``overall`` is the mean of what is known.
+    The relations' F1 is a macro mean over the relations that either side has.
+    """
+    pn, gn, pe, ge = (F.col(c) for c in ("pred_nodes", "gold_nodes", "pred_edges", "gold_edges"))
+    parts = {
+        "node_count_ratio": _ratio(F.size(pn), F.size(gn)), "node_type_accuracy": _positional(pn, gn),
+        "edge_count_ratio": _ratio(F.size(pe), F.size(ge)), "edge_relation_accuracy": _positional(pe, ge),
+    }
+    many = lambda array, r: F.size(F.filter(array, lambda x: x == r))
+    f1 = F.transform(F.array_union(pe, ge), lambda r: 2 * F.least(many(pe, r), many(ge, r)) / (many(pe, r) + many(ge, r)))
+    mean = lambda array: F.aggregate(array, F.lit(0.0), lambda s, x: s + x) / F.size(array)
+    known = F.array_compact(F.array(*parts.values()))
+    return rows.select(
+        *[c for c in rows.columns if c not in ("pred_nodes", "gold_nodes", "pred_edges", "gold_edges")],
+        *[F.round(v, 4).alias(k) for k, v in parts.items()],
+        F.round(F.when(F.size(f1) == 0, 1.0).otherwise(mean(f1)), 4).alias("edge_relation_f1"), F.round(mean(known), 4).alias("overall"),
+    )
+
+
+def exact_match(rows: DataFrame) -> DataFrame:
+    """One row (n, exact): the share of graphs that are predicted whole."""
+    same = (F.col("pred_nodes") == F.col("gold_nodes")) & (F.col("pred_edges") == F.col("gold_edges"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.avg(same.cast("double")), F.lit(0.0)), 6).alias("exact"))
+
+
+def _grams(words: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.array_join(F.slice(words, k, n), " "))
+
+
+def bleu(hypothesis: Column, reference: Column, most: int = 4) -> Column:
+    """BLEU against one reference, cut to the n-grams that a short hypothesis has."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    hyp, ref = words(hypothesis), words(reference)
+    count = lambda array, g: F.size(F.filter(array, lambda x: x == g))
+    logs, zero, used = F.lit(0.0), F.lit(False), F.least(F.size(hyp), F.lit(most))
+    for n in range(1, most + 1):
+        mine = F.when(F.size(hyp) >= n, _grams(hyp, n)).otherwise(F.array().cast("array<string>"))
+        theirs = F.when(F.size(ref) >= n, _grams(ref, n)).otherwise(F.array().cast("array<string>"))
+        clipped = F.aggregate(F.array_distinct(mine), F.lit(0), lambda s, g: s + F.least(count(mine, g), count(theirs, g)))  # noqa: B023
+        has = F.size(hyp) >= n
+        zero = zero | (has & (clipped == 0))
+        logs = logs + F.when(has & (clipped > 0), F.log(clipped / F.size(mine))).otherwise(0.0)
+    short = F.when(F.size(hyp) >= F.size(ref), 1.0).otherwise(F.exp(1 - F.size(ref) / F.size(hyp)))
+    return F.when((F.size(hyp) == 0) | (F.size(ref) == 0) | zero, 0.0).otherwise(F.round(short * F.exp(logs / used), 4))
+
+
+def connector_precision(rows: DataFrame) -> DataFrame:
+    """One row (n, precision) over rows with a gold connector."""
+    known = rows.where("gold is not null")
+    hit = F.coalesce((F.col("predicted") == F.col("gold")).cast("double"), F.lit(0.0))
+    return known.agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.avg(hit), F.lit(0.0)), 6).alias("precision"))
+
+
+def softmax(logits: Column, temperature: Column) -> Column:
+    top = F.array_max(logits)
+    e = F.transform(logits, lambda x: F.exp((x - top) / temperature))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+
+
+def calibration_error(rows: DataFrame, by: list[str] = (), bins: int = BINS) -> DataFrame:
+    """(by..., ece) of rows (confidence, correct): the mean gap of both over half-open bins, by their shares."""
+    total = Window.partitionBy(*by)
+    binned = rows.withColumn("bin", F.floor(F.col("confidence") * bins)).groupBy(*by, "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("c"), F.avg(F.col("correct").cast("double")).alias("a")
+    )
+    share = F.col("n") / F.sum("n").over(total)  # a row for each bin
+    gap = F.when((F.col("bin") >= 0) & (F.col("bin") < bins), share * F.abs(F.col("c") - F.col("a"))).otherwise(0.0)
+    return binned.withColumn("gap", gap).groupBy(*by).agg(F.sum("gap").alias("ece"))
+
+
+def best_temperature(rows: DataFrame, coolest: float = COOLEST, hottest: float = HOTTEST, steps: int = STEPS) -> DataFrame:
+    """One row (temperature, ece) over rows (logits, label): the grid's least calibration error, of equals the coolest."""
+    grid = [coolest + k * (hottest - coolest) / (steps - 1) for k in range(steps)]
+    each = rows.select("label", "logits", F.explode(F.array(*[F.lit(t) for t in grid])).alias("temperature"))  # a fixed number for each row
+    shares = each.select("temperature", "label", softmax(F.col("logits"), F.col("temperature")).alias("p"))
+    top = F.array_max("p")
+    scored = shares.select("temperature", top.alias("confidence"), (F.array_position("p", top) - 1 == F.col("label")).alias("correct"))
+    errors = calibration_error(scored, ["temperature"])
+    return errors.agg(F.min(F.struct(F.round("ece", 9).alias("ece"), "temperature")).alias("b")).select(F.round("b.temperature", 6).alias("temperature"), F.round("b.ece", 6).alias("ece"))
+
+
+def isotonic(confidence: Column, knots: list[tuple[float, float]]) -> Column:
+    """Linear between stored knots (x ascending, y), flat outside; without knots the confidence itself."""
+    if not knots:
+        return confidence
+    out = F.lit(float(knots[-1][1]))
+    for (x0, y0), (x1, y1) in reversed(list(zip(knots, knots[1:]))):
+        slope = (y1 - y0) / (x1 - x0) if x1 != x0 else 0.0
+        out = F.when(confidence < x1, y0 + (confidence - x0) * slope).otherwise(out)
+    return F.when(confidence <= knots[0][0], float(knots[0][1])).otherwise(out)
+
+
+def best_epoch(curve: DataFrame, metric: str = "score") -> DataFrame:
+    """One row (epoch, metric): the first epoch of the greatest metric; what is no number doesn't count."""
+    real = curve.where(F.col(metric).isNotNull() & ~F.isnan(metric))
+    return real.agg(F.max_by(F.struct("epoch", metric), F.struct(metric, (-F.col("epoch")).alias("e"))).alias("b")).select("b.*")
+
+
+def class_weights(rows: DataFrame, label: str) -> DataFrame:
+    """(class, n, weight): N over classes times n."""
+    counts = rows.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
+    return counts.crossJoin(F.broadcast(whole)).select("class", "n", F.round(F.col("total") / (F.col("classes") * F.col("n")), 6).alias("weight"))  # one row

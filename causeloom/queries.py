@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import queries_graph, queries_session
+from . import queries_corpus, queries_graph, queries_session
 from .operators import curation, evaluation, reports, traverse
 from .sources import derived
 from .sources.derived import table
@@ -19,6 +19,7 @@ def queries() -> dict:
     return {
         **queries_graph.queries(),
         **queries_session.queries(),
+        **queries_corpus.queries(),
         "centrality": lambda s, d: reports.centrality(flow(s, d)),
         "density": lambda s, d: reports.density(flow(s, d)),
         "coverage": lambda s, d: reports.coverage(flow(s, d)),
@@ -40,8 +41,6 @@ def queries() -> dict:
         "first_of_equal": lambda s, d: curation.first_of_equal(table(s, d, "documents")),
         "new_urls": lambda s, d: curation.new_urls(table(s, d, "pages")),
         "histogram": lambda s, d: curation.histogram(table(s, d, "documents"), "lang"),
-        "stratified_split": lambda s, d: curation.stratified_split(table(s, d, "documents"), "doc_id", "lang"),
-        "leaked": lambda s, d: curation.leaked(table(s, d, "documents"), table(s, d, "benchmark")),
         "accuracy": lambda s, d: evaluation.accuracy(_scored(s, d)),
         "confusion": lambda s, d: evaluation.confusion(_scored(s, d)),
         "per_class": lambda s, d: evaluation.per_class(_scored(s, d)),
@@ -89,6 +88,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         **queries_graph.oracle_sql(),
         **queries_session.oracle_sql(),
+        **queries_corpus.oracle_sql(),
         "centrality": _FLOW + """, s AS (
           SELECT label, coalesce((SELECT count(*) FROM edges WHERE dst = label), 0) AS degree_in,
                  coalesce((SELECT count(*) FROM edges WHERE src = label), 0) AS degree_out,
@@ -148,10 +148,6 @@ def oracle_sql() -> dict[str, str]:
         "new_urls": "SELECT sha256(url) AS url_hash, min(page_id) AS page_id FROM pages WHERE url IS NOT NULL GROUP BY 1",
         "histogram": """SELECT lang AS value, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM documents), 4) AS percent
           FROM documents GROUP BY lang""",
-        "stratified_split": """SELECT lang AS stratum, CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'val' ELSE 'test' END AS split, count(*) AS n
-          FROM (SELECT lang, ('0x' || substr(sha256('split|' || doc_id), 1, 8))::BIGINT % 100 AS h FROM documents) GROUP BY 1, 2""",
-        "leaked": """SELECT DISTINCT sha256(lower(trim(text))) AS key FROM documents WHERE lower(trim(text)) IN
-          (SELECT lower(trim(text)) FROM benchmark)""",
         "accuracy": f"SELECT count(*) AS n, round(avg((gold = predicted)::INT), 6) AS accuracy FROM {_SCORED}",
         "confusion": f"SELECT gold, predicted, count(*) AS n FROM {_SCORED} GROUP BY 1, 2",
         "per_class": _CLASSES,

@@ -126,9 +126,3 @@ def test_evaluation(spark):
     f1 = {r["class"]: r.f1 for r in evaluation.per_class(rows).collect()}
     assert f1 == {0: 0.6667, 1: 0.5, 2: 0.0}
     assert evaluation.macro_f1(evaluation.per_class(rows)).head().macro_f1 == pytest.approx(0.3889)
-
-
-def test_entry_has_sql_for_every_core_query():
-    from causeloom import queries
-
-    assert set(queries.oracle_sql()) == set(queries.queries())

@@ -1 +1 @@
-"""Part of causeloom."""
+"""The same operators over streams."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import scratch, stage
 
 ROUNDS = 60
 
@@ -53,6 +53,11 @@ def forest(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each linked node's component, for links (a, b) of comparable nodes."""
+    with scratch(edges.sparkSession, "components"):
+        return stage(_settled(edges), "components")
+
+
+def _settled(edges: DataFrame) -> DataFrame:
     links = stage(forest(edges.where("a <> b")), "links")
     for _ in range(ROUNDS):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

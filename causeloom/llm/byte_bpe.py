@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .caching import Memo
-from .prefix_tables import WIDTHS, PrefixTables
+from .columns import apart
+from .prefix_tables import PrefixTables
+from .staging import give_back
 from .units import cuts, spread
 
 #: Bytes that one worker's memo of words takes at most.
@@ -318,19 +320,21 @@ def tokenize(
 ) -> DataFrame:
     """Encode and decode every text.
 
-    Returns the columns ``keep`` and: ``ids`` array<int> (if asked for), ``n_tokens``,
+    Returns the columns ``keep`` (all but the text), those that clash with a result's name as
+    ``name_input``, and: ``ids`` array<int> (if asked for), ``n_tokens``,
     ``round_trip`` (the decoded bytes are the text's), and with ``digests`` the
     SHA-256 of the ids, written in decimal and joined by blanks, and of the decoded
     bytes.
     """
     vocabulary = (path, pattern) if path and pattern else default_vocabulary()
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    fields = [docs.schema[c] for c in keep]
     spec = "n_tokens long, round_trip boolean" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
     names = [f.split()[0] for f in spec.split(", ")]
-    for name in names:
-        if name in keep:
-            raise ValueError(f"{name} is a result of tokenize; rename that column first")
+    if keep is not None:
+        docs = docs.select(*keep, *[text_col] * (text_col not in keep))
+    carried = keep is not None and text_col in keep
+    docs = apart(docs, names, own=[text_col])
+    keep = [c for c in docs.columns if c != text_col or carried]
+    fields = [docs.schema[c] for c in keep]
     schema = docs.sparkSession.createDataFrame([], spec).schema
     for f in reversed(fields):
         schema.fields.insert(0, f)
@@ -345,6 +349,7 @@ def tokenize(
         for batch in batches:
             for part in range(0, batch.num_rows, ROWS):
                 yield one(coder, spelled, batch.slice(part, ROWS))
+        give_back()
 
     def one(coder, spelled, batch):
         out: dict[str, list] = {n: [] for n in names}

@@ -25,10 +25,10 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import scratch, stage
 
 #: Characters that the normal form drops, ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -92,23 +92,30 @@ def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns.
 
     Losers are removed by an anti-join on (id, digest); texts travel only if the
-    losers are too many to broadcast.  Rows repeated under the id of the winner
-    are told apart afterwards, and only if there are any.
+    losers are too many to broadcast.  Rows repeated under the id of a winner are told
+    apart afterwards, and only the rows of such ids travel for that.
     """
-    decisions = stage(decide(docs, id_col, text_col, support).where(~F.col("kept")), "losers")
-    losers = decisions.where(~F.col("same_id")).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    spark = docs.sparkSession
+    with scratch(spark, "losers", "tied-ids"):
+        decisions = stage(decide(docs, id_col, text_col, support).where(~F.col("kept")), "losers")
+        same = decisions.where("same_id")
+        tied = stage(same.select(F.col("id").alias("__tied")).distinct(), "tied-ids")
+        some = tied.limit(1).count()
+    losers = decisions.where(~F.col("same_id")).select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
     digest = F.unhex(F.sha2(normal_form(F.col(text_col)), 256))
-    marked = docs.withColumn("__own", digest)
-    kept = marked.join(
-        losers.distinct(),
-        marked[id_col].eqNullSafe(F.col("__id")) & (marked["__own"] == F.col("__digest")), "left_anti",
-    )
-    if decisions.where("same_id").limit(1).count():
-        from pyspark.sql import Window
 
-        longest = Window.partitionBy(id_col, "__own").orderBy(F.length(F.coalesce(F.col(text_col), F.lit(""))).desc())
-        kept = kept.withColumn("__rank", F.row_number().over(longest)).where("__rank = 1").drop("__rank")
-    return kept.drop("__own")
+    def without(rows: DataFrame) -> DataFrame:
+        marked = rows.withColumn("__own", digest)
+        return marked.join(losers, marked[id_col].eqNullSafe(F.col("__id")) & (marked["__own"] == F.col("__digest")), "left_anti")
+
+    if not some:
+        return without(docs).drop("__own")
+    # only rows whose id has repeats of a winner are put in order, with their texts
+    known = docs[id_col].eqNullSafe(F.col("__tied"))
+    single, repeated = docs.join(tied, known, "left_anti"), docs.join(tied, known, "left_semi")
+    longest = Window.partitionBy(id_col, "__own").orderBy(F.length(F.coalesce(F.col(text_col), F.lit(""))).desc())
+    first = without(repeated).withColumn("__rank", F.row_number().over(longest)).where("__rank = 1").drop("__rank")
+    return without(single).unionByName(first).drop("__own")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

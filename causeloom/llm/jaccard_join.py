@@ -61,7 +61,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import SIZE, mix, shingles_of, texts_in
-from .staging import stage
+from .staging import give_back, scratch, stage
 
 #: Two sets link from this share of common tokens on, as a fraction.
 LEAST, MOST = 75, 100
@@ -224,6 +224,7 @@ def shared_tokens(docs: DataFrame, demoted, numbers, text_col: str, buckets: int
                         own.setdefault(signature(s), s)
                 if own:
                     yield pack(own)
+        give_back()
 
     def pack(own):
         late, others = demoted.value, numbers.value
@@ -272,6 +273,7 @@ def _by_group(rows: DataFrame, by: str, run, spec: str) -> DataFrame:
             del own
         if held:
             yield run(held)
+        give_back()
 
     order = [by, *[c for c in rows.columns if c == "home"]]
     return rows.repartition(by).sortWithinPartitions(*order).mapInArrow(each, spec)
@@ -394,6 +396,11 @@ def _active(shared: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): one row for each input row."""
+    with scratch(docs.sparkSession, "members", "classes", "owner"):
+        return _join(docs, id_col, text_col)
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("__doc_id"), F.col(text_col).alias("__doc_text"))
     id_col, text_col = docs.columns

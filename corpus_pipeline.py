@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeloom.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id
-from causeloom.llm.staging import stage
+from causeloom.llm.staging import scratch, stage
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -38,8 +38,8 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    found = language_id.predict(docs, model)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+    found = language_id.predict(docs, model, names=("__lang_pred", "__lang_score"))
+    return found.where(F.col("__lang_pred") != language_id.UNKNOWN).select(docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    with scratch(spark, "gone"):
+        return _without_near_copies(docs)
+
+
+def _without_near_copies(docs: DataFrame) -> DataFrame:
     docs = _keyed(docs)
     moved = jaccard_join.join(docs, "__key").where("id <> component_id")
     linked = stage(moved.select("id", "component_id").union(moved.select("component_id", "component_id")).distinct(), "linked")
@@ -58,7 +63,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     docs = _keyed(docs)
-    return _without(docs, decontaminate.decontaminate(docs, items, id_col="__key").where("n_hit > 0"))
+    with scratch(spark, "gone"):
+        return _without(docs, decontaminate.decontaminate(docs, items, id_col="__key").where("n_hit > 0"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,10 +18,11 @@ Method
    other terms at once.  The joins are on (document, position), which spreads a
    frequent term or a frequent passage over all tasks.
 4. :func:`phrase_matches` gives the exact places; :func:`proximity_matches` gives
-   places where an item's rarest terms stand near each other in any order.
+   places where an item's rarest terms stand near each other in any order, and
+   :func:`near_items` those of whole tables.
 
-The benchmark's terms and phrases are small tables beside a corpus, but nothing
-depends on that: they are joined without a hint, so that Spark broadcasts them only
+The index holds the words of the benchmark only: another benchmark is another scan.
+Its terms and phrases are small tables beside a corpus, but nothing depends on that: they are joined without a hint, so that Spark broadcasts them only
 below its threshold for their measured size and shuffles both sides beyond it.
 
 Defined results: null and empty texts have no words; an item without words is no
@@ -32,7 +33,7 @@ benchmark hits nothing; columns besides id and text are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stage
@@ -62,13 +63,13 @@ def phrases(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", tex
 
 
 def index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stage the positional postings (row, id, term, pos) of ``terms`` (term string, term_id int).
+    """Stage the positional postings (row, id, term, pos) of ``terms`` (term string, term_id long).
 
     ``term`` is the number of the term; the posting with term -1 holds the number
     of words of its document.
     """
     wanted = terms.select("term", "term_id").unionByName(
-        docs.sparkSession.sql(f"SELECT '{_END}' AS term, -1 AS term_id")
+        docs.sparkSession.sql(f"SELECT '{_END}' AS term, CAST(-1 AS BIGINT) AS term_id")
     )
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     tokens = numbered.select("row", "id", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(_END)))).alias("pos", "term"))
@@ -111,7 +112,7 @@ def phrase_matches(postings: DataFrame, found: DataFrame, numbered: DataFrame, s
         held = met.unionByName(held.where(F.size("need") <= k))
     held = stage(held, "candidate-places")
     rest = held.where(F.size("need") > steps).select(
-        "row", "start", "shape", F.explode(F.slice("need", steps + 1, WINDOW_LIMIT)).alias("n")
+        "row", "start", "shape", F.explode(F.slice("need", F.lit(steps + 1), F.size("need"))).alias("n")
     ).select("row", "start", "shape", F.col("n.term").alias("term"), (F.col("start") + F.col("n.offset")).alias("pos"))
     # only documents with a candidate can match: their postings are few
     near = lists.join(held.where(F.size("need") > steps).select("row").distinct(), "row", "left_semi").select("row", "term", "pos")
@@ -127,37 +128,52 @@ def phrase_matches(postings: DataFrame, found: DataFrame, numbered: DataFrame, s
     return stage(whole, "phrase-places").join(owners, "shape").select("row", "id", "item", "start", "size")
 
 
-#: More words than any phrase has.
-WINDOW_LIMIT = 1 << 20
-
-
 def proximity_matches(postings: DataFrame, items: DataFrame, numbered: DataFrame, terms: int = 3, within: int = 20) -> DataFrame:
-    """(row, id, item, start, stop): places where an item's ``terms`` rarest words stand within ``within`` words.
+    """(row, id, item, start, stop): places where an item's ``terms`` rarest words, or all it has, stand within ``within`` words.
 
-    The rarest word's postings are the candidates; each further word must have a
-    posting at most ``within`` away, found by joining on blocks of that many words.
+    The rarest word's postings are the candidates.  Each further word meets them in blocks of
+    that many words, and every posting that still fits goes on, not the nearest alone; a
+    candidate has fewer than ``2 * within`` of each, so their number is bounded.  Items of
+    which a word is in no document have no place.
     """
     counts = postings.where("term >= 0").groupBy("term").count()
+    known = items.select("item", F.explode(F.array_distinct("w")).alias("known")).join(numbered, "known", "left")
     rare = (
-        items.select("item", F.explode(F.array_distinct("w")).alias("known")).join(numbered, "known").join(counts, "term")
+        known.join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
         .groupBy("item").agg(F.slice(F.array_sort(F.collect_set(F.struct("count", "term"))), 1, terms).alias("r"))  # words of one item
-        .where(F.size("r") == terms).select("item", F.transform("r", lambda x: x["term"]).alias("r"))
+        .where(F.get("r", F.lit(0))["count"] > 0).select("item", F.transform("r", lambda x: x["term"]).alias("r"))
     )
     lists = postings.where("term >= 0")
     held = lists.join(rare.select("item", "r", F.get("r", F.lit(0)).alias("term")), "term").select(
-        "row", "id", "item", "r", F.col("pos").alias("anchor"), F.col("pos").alias("start"), F.col("pos").alias("stop")
+        "row", "id", "item", "r", F.col("pos").alias("start"), F.col("pos").alias("stop")
     )
     for k in range(1, terms):
-        kth = lists.join(rare.select(F.get("r", F.lit(k)).alias("term")).distinct(), "term", "left_semi").select(
+        kth = lists.join(rare.where(F.size("r") > k).select(F.get("r", F.lit(k)).alias("term")).distinct(), "term", "left_semi").select(
             "row", "term", "pos", F.explode(F.array(*[F.floor(F.col("pos") / within) + d for d in (-1, 0, 1)])).alias("block")
         )
-        want = held.select("*", F.get("r", F.lit(k)).alias("term"), F.floor(F.col("anchor") / within).alias("block"))
-        met = want.join(kth, ["row", "term", "block"]).where(F.abs(F.col("pos") - F.col("anchor")) < within)
-        nearest = met.groupBy("row", "id", "item", "r", "anchor", "start", "stop").agg(
-            F.min_by("pos", F.struct(F.abs(F.col("pos") - F.col("anchor")), F.col("pos"))).alias("pos")
-        )
-        held = nearest.select("row", "id", "item", "r", "anchor", F.least("start", "pos").alias("start"), F.greatest("stop", "pos").alias("stop"))
-    return held.where(F.col("stop") - F.col("start") < within).select("row", "id", "item", "start", "stop")
+        want = held.where(F.size("r") > k).select("*", F.get("r", F.lit(k)).alias("term"), F.floor(F.col("start") / within).alias("block"))
+        met = want.join(kth, ["row", "term", "block"]).select(
+            "row", "id", "item", "r", F.least("start", "pos").alias("start"), F.greatest("stop", "pos").alias("stop")
+        ).where(F.col("stop") - F.col("start") < within)
+        held = met.distinct().unionByName(held.where(F.size("r") <= k))
+    return held.select("row", "id", "item", "start", "stop")
+
+
+def near_items(
+    docs: DataFrame, items: DataFrame, terms: int = 3, within: int = 20,
+    id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """(id, item, start, stop): ``proximity_matches`` of whole tables, beside the exact ones of :func:`decontaminate`."""
+    split = stage(items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("w")).where("size(w) > 0"), "item-words")
+    numbered = _test_terms(split.select(F.explode("w").alias("term")).distinct())
+    postings = index(docs, numbered, id_col, text_col)
+    known = numbered.select(F.col("term").alias("known"), F.col("term_id").alias("term"))
+    return proximity_matches(postings, split, known, terms, within).select("id", "item", "start", "stop")
+
+
+def _test_terms(every: DataFrame) -> DataFrame:
+    """Staged (term, term_id): numbers that need no order, frozen by being written."""
+    return stage(every.select("term", F.monotonically_increasing_id().alias("term_id")), "test-terms")
 
 
 def decontaminate(
@@ -167,9 +183,7 @@ def decontaminate(
     """One row for each document: id, n_words, n_hit, items (sorted ids of the items met)."""
     found = stage(phrases(items, window, item_id, item_text), "phrases")
     every = found.select(F.explode("terms").alias("term")).distinct()
-    numbered = stage(
-        every.select("term", F.row_number().over(Window.orderBy("term")).alias("term_id")).coalesce(1), "test-terms"
-    )
+    numbered = _test_terms(every)
     postings = index(docs, numbered, id_col, text_col)
     known = numbered.select(F.col("term").alias("known"), F.col("term_id").alias("term"))
     places = phrase_matches(postings, found, known)

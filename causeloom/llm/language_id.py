@@ -30,6 +30,9 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import apart
+from .staging import give_back
+
 BINS = 4096
 #: Most labelled rows of one language that are learned from.
 SAMPLE = 400
@@ -172,11 +175,11 @@ def fit(docs: DataFrame, **columns) -> Hierarchy | None:
     return Hierarchy(languages, x, y) if languages else None
 
 
-def predict(docs: DataFrame, model: Hierarchy | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (columns of these names are replaced)."""
+def predict(docs: DataFrame, model: Hierarchy | None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score under ``names``; columns of these names stay as ``name_input``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
-    spec = docs.sparkSession.createDataFrame([], "lang_pred string, score double").schema
+    docs = apart(docs, names, own=[text_col])
+    spec = docs.sparkSession.createDataFrame([], f"{names[0]} string, {names[1]} double").schema
     at = docs.columns.index(text_col)
     from pyspark.sql.types import StructType
 
@@ -189,8 +192,9 @@ def predict(docs: DataFrame, model: Hierarchy | None, text_col: str = "text") ->
             ]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                names=[*batch.schema.names, *names],
             )
+        give_back()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *spec.fields]))
 

@@ -8,14 +8,15 @@ equal rules with different verdicts the block wins.  URLs that no rule fits get
 
 The trie walks the host labels from the right (``org``, ``example``, ...) and
 then the path's segments; a rule's last, unfinished segment is kept at its node
-as a list of prefixes.  Walking one URL costs its own length whatever the number
-of rules.  The compiled trie is broadcast while the rules number at most
+as a list of prefixes.  Walking one URL costs its own length, and as many tries at a
+node as its unfinished segments have lengths.  The compiled trie is broadcast while the rules number at most
 ``max_broadcast_rules``; a larger list is joined on host suffixes instead
 (:func:`_by_join`), with the same result.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and so no rule; an empty table gives no rows; repeated rows are judged each;
-further columns stay as they are.
+further columns stay as they are, those named ``host``, ``path``, ``rule`` or ``verdict`` as
+``host_input`` and so on.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import apart
+
 #: (verdict, host, path) of the registered query.
 RULES = [
     ("allow", "org", "/"),
@@ -56,12 +59,13 @@ class RuleTrie:
         for label in reversed(host.translate(_LOWER).split(".")):
             node = node[0].setdefault(label, [{}, None])
         if node[1] is None:
-            node[1] = [{}, {}]
-        at = node[1]  # [children by whole segment, {unfinished segment: (rule, verdict)}]
+            node[1] = [{}, {}, []]
+        at = node[1]  # [children by whole segment, {unfinished segment: (rule, verdict)}, their lengths from the longest on]
         *whole, rest = path.split("/")
         for segment in whole:
-            at = at[0].setdefault(segment, [{}, {}])
+            at = at[0].setdefault(segment, [{}, {}, []])
         at[1][rest] = (host + path, verdict)
+        at[2] = sorted({len(r) for r in at[1]}, reverse=True)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         best, node = None, self.root
@@ -77,13 +81,11 @@ class RuleTrie:
     def _in_path(at: list, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for k, segment in enumerate(segments):
-            ends = at[1]
-            if ends:
-                for cut in range(len(segment), -1, -1):
-                    hit = ends.get(segment[:cut])
-                    if hit is not None:
-                        best = hit
-                        break
+            for cut in at[2]:
+                hit = at[1].get(segment[:cut]) if cut <= len(segment) else None
+                if hit is not None:
+                    best = hit
+                    break
             if k == len(segments) - 1:
                 break
             at = at[0].get(segment)
@@ -121,7 +123,7 @@ def judge(
 ) -> DataFrame:
     """``pages`` with host, path, rule (null if none fits) and verdict."""
     rules = list(rules)
-    split = split_url(pages, url_col)
+    split = split_url(apart(pages, ["host", "path", "rule", "verdict"], own=[url_col]), url_col)
     if len(rules) <= max_broadcast_rules:
         found = _by_trie(split, rules)
     else:

@@ -125,3 +125,22 @@ def test_language_id(spark):
     assert done.columns == ["doc_id", "text", "lang_pred_input", "score_input", "lang", "lang_pred", "score"]
     assert {(r.text, r.lang_pred) for r in done.collect() if not r.text} == {(None, "und"), ("", "und")}
     assert language_id.predict(docs.limit(0), model).collect() == [] and language_id.fit(docs.limit(0).select("doc_id", "text", "lang")) is None
+
+
+def test_hub_rounds_and_small_parts_give_the_same_components(spark, monkeypatch):
+    draw = random.Random(11)
+    rows = []
+    common = [f"c{k}" for k in range(30)]
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(50)]
+        for _ in range(40):
+            own = list(base)
+            for _ in range(draw.randint(0, 3)):
+                own[draw.randrange(50)] = f"n{draw.randrange(500)}"
+            rows.append((len(rows), " ".join(own + common * draw.randint(0, 1))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.id: r.component_id for r in jaccard_join.join(docs).collect()}
+    monkeypatch.setattr(jaccard_join, "CROWDED", -1)
+    monkeypatch.setattr(jaccard_join, "VISITORS", 3)
+    monkeypatch.setattr(jaccard_join, "GROUP", 5)
+    assert {r.id: r.component_id for r in jaccard_join.join(docs).collect()} == want and 6 <= len(set(want.values())) < 200

@@ -175,3 +175,26 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     counts = rows.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("n"))
     whole = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
     return counts.crossJoin(F.broadcast(whole)).select("class", "n", F.round(F.col("total") / (F.col("classes") * F.col("n")), 6).alias("weight"))  # one row
+
+
+def summary(curve: DataFrame, metric: str = "score") -> DataFrame:
+    """One row (epochs, best_epoch, best, last): a training curve (epoch, metric) in short."""
+    best = best_epoch(curve, metric).select(F.col("epoch").alias("best_epoch"), F.col(metric).alias("best"))
+    last = curve.agg(F.count(F.lit(1)).alias("epochs"), F.max_by(metric, "epoch").alias("last"))
+    return last.crossJoin(F.broadcast(best)).select("epochs", "best_epoch", "best", "last")  # one row each
+
+
+def evaluate(labels: DataFrame, graphs: DataFrame) -> DataFrame:
+    """(metric, value): accuracy and macro F1 over (gold, predicted), exact match and mean similarity over graphs."""
+    one = lambda df, column, name: df.select(F.lit(name).alias("metric"), F.col(column).cast("double").alias("value"))
+    similar = graph_similarity(graphs).agg(F.round(F.avg("overall"), 6).alias("overall"))
+    return (
+        one(accuracy(labels), "accuracy", "accuracy").unionByName(one(macro_f1(per_class(labels)), "macro_f1", "macro_f1"))
+        .unionByName(one(exact_match(graphs), "exact", "graph_exact_match")).unionByName(one(similar, "overall", "graph_similarity"))
+    )
+
+
+def gate(metrics: DataFrame, least: dict[str, float]) -> DataFrame:
+    """(metric, value, least, passed) for the metrics that a release must reach; a missing one fails."""
+    wanted = metrics.sparkSession.createDataFrame(sorted(least.items()), "metric string, least double")
+    return wanted.join(metrics, "metric", "left").select("metric", "value", "least", F.coalesce(F.col("value") >= F.col("least"), F.lit(False)).alias("passed"))

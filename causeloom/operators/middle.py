@@ -164,6 +164,44 @@ def _numbered(strong: DataFrame) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "part").select("component", (F.col("before") + F.col("at") - F.col("first")).alias("cycle_id"))
 
 
+def back_edge_cycles(graph: Graph, most: int = LOCAL_LINKS) -> DataFrame:
+    """(path): the cycles that a depth-first walk closes, each set of nodes once; the walk takes nodes by id and edges by place.
+
+    It depends on that order, so it is one walk on the driver, over ``most`` distinct links.
+    """
+    pairs = graph.valid_edges().groupBy("src", "dst").agg(F.min("edge_idx").alias("i"))
+    rows = sorted((tuple(r) for r in pairs.limit(most + 1).collect()), key=lambda r: r[2])  # at most ``most``, else refused
+    if len(rows) > most:
+        raise TooLarge(f"more than {most} links")
+    out: dict = {}
+    for a, b, _ in rows:
+        out.setdefault(a, []).append(b)
+    done, found, seen = set(), [], set()
+    for first in sorted(out):
+        if first in done:
+            continue
+        path, place, work = [first], {first: 0}, [iter(out[first])]
+        while work:
+            for to in work[-1]:
+                if to in place:
+                    cycle = path[place[to] :]
+                    if frozenset(cycle) not in seen:
+                        seen.add(frozenset(cycle))
+                        found.append((cycle,))
+                elif to not in done:
+                    place[to] = len(path)
+                    path.append(to)
+                    work.append(iter(out.get(to, [])))
+                    break
+            else:
+                work.pop()
+                gone = path.pop()
+                done.add(gone)
+                del place[gone]
+    kind = graph.nodes.schema["node_id"].dataType.simpleString()
+    return graph.nodes.sparkSession.createDataFrame(found, f"path array<{kind}>")
+
+
 def mark_cycles(graph: Graph, local_links: int = LOCAL_LINKS) -> Graph:
     """The graph with the cycle's id on each edge inside one."""
     strong = cut(strong_components(graph, local_links))

@@ -94,3 +94,20 @@ def span_report(sentences: DataFrame) -> DataFrame:
 def as_document(sentences: DataFrame) -> DataFrame:
     """(json): one line for each sentence, in the second schema."""
     return sentences.select(F.to_json(F.struct(F.lit("2.0").alias("schema_version"), F.array(F.struct("id", "text", "lang", "tokens", "cir")).alias("sentences"))).alias("json"))
+
+
+def bootstrap(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, text, tokens, cir): a sentence for each edge of a graph, of its ends' labels with the relation between, and made-up tokens."""
+    at = labels.select("node_id", F.col("label"), "node_type")
+    e = edges.join(at.toDF("src", "s_label", "s_type"), "src").join(at.toDF("dst", "d_label", "d_type"), "dst")
+    first, second = F.split("s_label", r"\s+"), F.split("d_label", r"\s+")
+    words = F.concat(first, F.array("relation"), second)
+    tokens = F.transform(words, lambda w, k: F.struct(
+        (k + 1).cast("int").alias("id"), w.alias("form"), F.lower(w).alias("lemma"), F.lit("X").alias("pos"), F.lit("dep").alias("dep_rel"), F.lit(0).alias("head")))
+    node = lambda name, kind, label, low, high: F.struct(F.lit(name).alias("id"), F.col(kind).alias("node_type"), F.col(label).alias("label"), F.array(low.cast("int"), high.cast("int")).alias("token_span"))
+    n, m = F.size(first), F.size(second)
+    cir = F.struct(
+        F.array(node("n001", "s_type", "s_label", F.lit(1), n), node("n002", "d_type", "d_label", n + 2, n + m + 1)).alias("nodes"),
+        F.array(F.struct(F.lit("n001").alias("source"), F.array(F.lit("n001")).alias("sources"), F.lit("n002").alias("target"), F.col("relation"), F.col("confidence"), F.lit(False).alias("negated"))).alias("edges"),
+    )
+    return e.select(F.concat(F.lit("b"), F.col("edge_idx").cast("string")).alias("id"), F.array_join(words, " ").alias("text"), tokens.alias("tokens"), cir.alias("cir"))

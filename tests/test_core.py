@@ -126,3 +126,10 @@ def test_evaluation(spark):
     f1 = {r["class"]: r.f1 for r in evaluation.per_class(rows).collect()}
     assert f1 == {0: 0.6667, 1: 0.5, 2: 0.0}
     assert evaluation.macro_f1(evaluation.per_class(rows)).head().macro_f1 == pytest.approx(0.3889)
+
+
+def test_back_edges(spark):
+    g = graph(spark, 5, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 1), (3, 3), (4, 0)])
+    assert [r.path for r in middle.back_edge_cycles(g).collect()] == [[0, 1, 2], [1, 2, 3], [3]]
+    with pytest.raises(TooLarge):
+        middle.back_edge_cycles(g, 3)

@@ -151,3 +151,15 @@ def test_emission_rules(spark):
         emission.passive(F.lit("Pass")).alias("p"),
     ).head()
     assert tuple(row) == (True, "mediator", None, "n007", "n012", "x", "etat_local", [0.5, 0.5], True)
+
+
+def test_evaluation_as_a_whole(spark):
+    labels = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "gold string, predicted string")
+    graphs = spark.createDataFrame([(["x"], ["x"], ["r"], ["r"]), (["x"], ["y"], [], [])], "pred_nodes array<string>, gold_nodes array<string>, pred_edges array<string>, gold_edges array<string>")
+    metrics = evaluation.evaluate(labels, graphs)
+    values = {r.metric: r.value for r in metrics.collect()}
+    assert values["accuracy"] == pytest.approx(2 / 3, abs=1e-6) and values["graph_exact_match"] == 0.5
+    passed = {r.metric: r.passed for r in evaluation.gate(metrics, {"accuracy": 0.6, "macro_f1": 0.99, "other": 0.1}).collect()}
+    assert passed == {"accuracy": True, "macro_f1": False, "other": False}
+    curve = spark.createDataFrame([(1, 0.5), (2, 0.7), (3, 0.7), (4, float("nan")), (5, 0.1)], "epoch int, score double")
+    assert tuple(evaluation.summary(curve).head()) == (5, 2, 0.7, 0.1)

@@ -34,6 +34,15 @@ def test_annotated_corpora(spark, tmp_path):
     assert back["schema_version"] == "2.0" and back["sentences"][0]["id"] == "s1"
 
 
+def test_a_graph_as_a_corpus(spark):
+    labels = spark.createDataFrame([(1, "rain falls", "processus"), (2, "floods", "etat_local")], "node_id long, label string, node_type string")
+    edges = spark.createDataFrame([(0, 1, 2, "cause", 0.9)], "edge_idx long, src long, dst long, relation string, confidence double")
+    made = corpora.bootstrap(labels, edges)
+    row = made.head()
+    assert row.text == "rain falls cause floods" and [t.form for t in row.tokens] == row.text.split() and [n.token_span for n in row.cir.nodes] == [[1, 2], [4, 4]]
+    assert corpora.problems(made, ["cause"]).head().errors == []
+
+
 def test_spans_and_texts(spark, tmp_path):
     def spans(t, n):
         return [tuple(x) for x in spark.range(1).select(corpora.uniform_spans(F.lit(t), F.lit(n)).alias("s")).head().s]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import queries_corpus, queries_graph, queries_session
+from . import queries_corpus, queries_graph, queries_session, queries_text
 from .operators import curation, evaluation, reports, traverse
 from .sources import derived
 from .sources.derived import table
@@ -20,6 +20,7 @@ def queries() -> dict:
         **queries_graph.queries(),
         **queries_session.queries(),
         **queries_corpus.queries(),
+        **queries_text.queries(),
         "centrality": lambda s, d: reports.centrality(flow(s, d)),
         "density": lambda s, d: reports.density(flow(s, d)),
         "coverage": lambda s, d: reports.coverage(flow(s, d)),
@@ -89,6 +90,7 @@ def oracle_sql() -> dict[str, str]:
         **queries_graph.oracle_sql(),
         **queries_session.oracle_sql(),
         **queries_corpus.oracle_sql(),
+        **queries_text.oracle_sql(),
         "centrality": _FLOW + """, s AS (
           SELECT label, coalesce((SELECT count(*) FROM edges WHERE dst = label), 0) AS degree_in,
                  coalesce((SELECT count(*) FROM edges WHERE src = label), 0) AS degree_out,

@@ -41,6 +41,8 @@ from .staging import stage
 WINDOW = 10
 #: Terms that are intersected one after the other before all others at once.
 STEPS = 3
+#: Documents with a candidate place that are broadcast at most (8 bytes each); more are joined by shuffling.
+BROADCAST_ROWS = 2_000_000
 # Fixed value: what stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _END = " "  # no word; its posting holds the word count
@@ -115,7 +117,9 @@ def phrase_matches(postings: DataFrame, found: DataFrame, numbered: DataFrame, s
         "row", "start", "shape", F.explode(F.slice("need", F.lit(steps + 1), F.size("need"))).alias("n")
     ).select("row", "start", "shape", F.col("n.term").alias("term"), (F.col("start") + F.col("n.offset")).alias("pos"))
     # only documents with a candidate can match: their postings are few
-    near = lists.join(held.where(F.size("need") > steps).select("row").distinct(), "row", "left_semi").select("row", "term", "pos")
+    rows = stage(held.where(F.size("need") > steps).select("row").distinct(), "candidate-rows")
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows  # else all postings are shuffled
+    near = lists.join(rows, "row", "left_semi").select("row", "term", "pos")
     full = (
         rest.join(near, ["row", "term", "pos"]).groupBy("row", "start", "shape").agg(F.count(F.lit(1)).alias("met"))
     )

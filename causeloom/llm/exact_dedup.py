@@ -34,6 +34,8 @@ from .staging import scratch, stage
 BLANKS = " \t\n\x0b\x0c\r"
 #: Share of all rows above which a digest is surely treated as a heavy hitter.
 SUPPORT = 0.001
+#: Losers that are broadcast at most (an id and a digest each, some 100 bytes); more are joined by shuffling.
+BROADCAST_LOSERS = 300_000
 
 
 def normal_form(text):
@@ -92,7 +94,7 @@ def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns.
 
     Losers are removed by an anti-join on (id, digest); texts travel only if the
-    losers are too many to broadcast.  Rows repeated under the id of a winner are told
+    losers are more than ``BROADCAST_LOSERS``.  Rows repeated under the id of a winner are told
     apart afterwards, and only the rows of such ids travel for that.
     """
     spark = docs.sparkSession
@@ -102,6 +104,7 @@ def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         tied = stage(same.select(F.col("id").alias("__tied")).distinct(), "tied-ids")
         some = tied.limit(1).count()
     losers = decisions.where(~F.col("same_id")).select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    losers = F.broadcast(losers) if decisions.count() <= BROADCAST_LOSERS else losers
     digest = F.unhex(F.sha2(normal_form(F.col(text_col)), 256))
 
     def without(rows: DataFrame) -> DataFrame:

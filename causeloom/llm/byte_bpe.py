@@ -39,9 +39,9 @@ from .staging import give_back
 from .units import cuts, spread
 
 #: Bytes that one worker's memo of words takes at most.
-MEMO = 64 << 20
+MEMO = 32 << 20
 #: Rows that are encoded together, and bytes of a long piece that are extended together.
-ROWS, RUN = 1024, 1 << 16
+ROWS, RUN = 512, 1 << 16
 # The one split pattern that is cut by vector operations, and the white space beyond ASCII.
 FAST_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WIDE_BLANK = regex.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")

@@ -54,7 +54,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,22 +167,19 @@ def frequent_tokens(docs: DataFrame, text_col: str, buckets: int, most: int = MA
             names=["bucket", "tokens", "counts"],
         )
 
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.concatenate([np.frombuffer(t, "<u8") for t in rows.tokens])
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in rows.counts])
+    def count(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        tokens = np.concatenate([np.frombuffer(t, "<u8") for t, _ in rows])
+        counts = np.concatenate([np.frombuffer(c, "<u4") for _, c in rows])
         order = np.argsort(tokens)
         tokens, counts = tokens[order], counts[order]
         first = np.nonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))[0]
         total = np.add.reduceat(counts.astype(np.int64), first)
         kept = total > least
-        return pd.DataFrame({"token": tokens[first][kept].view(np.int64), "n": total[kept]})
+        return pa.RecordBatch.from_arrays([pa.array(tokens[first][kept].view(np.int64)), pa.array(total[kept])], names=["token", "n"])
 
-    found = (
-        docs.select(text_col).mapInArrow(send, "bucket int, tokens binary, counts binary")
-        .groupBy("bucket").applyInPandas(count, "token long, n long")
-        .orderBy(F.desc("n"), "token").limit(most).select("token").toPandas()
-    )
-    return np.sort(found.token.to_numpy(np.int64).view(np.uint64))
+    sent = docs.select(text_col).mapInArrow(send, "bucket int, tokens binary, counts binary")
+    found = _by_group(sent, "bucket", count, "token long, n long").orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()
+    return np.sort(found.column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _ordered(tokens: np.ndarray, demoted: np.ndarray) -> np.ndarray:

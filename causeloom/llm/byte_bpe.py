@@ -349,6 +349,7 @@ def tokenize(
         for batch in batches:
             for part in range(0, batch.num_rows, ROWS):
                 yield one(coder, spelled, batch.slice(part, ROWS))
+        coder.memo = Memo(coder.memo.limit * 2)  # a worker lives on; its words' memory is given back
         give_back()
 
     def one(coder, spelled, batch):

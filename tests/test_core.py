@@ -133,3 +133,14 @@ def test_back_edges(spark):
     assert [r.path for r in middle.back_edge_cycles(g).collect()] == [[0, 1, 2], [1, 2, 3], [3]]
     with pytest.raises(TooLarge):
         middle.back_edge_cycles(g, 3)
+
+
+def test_class_reports_round_as_printf(spark):
+    values = [0.0005, 0.0015, 0.0045, 0.0055, 0.0625, 0.1875, 0.4625, 0.5625, 0.9995, 0.0004, 0.0, 1.0]
+    rows = [(k, v, v, 1 - v, k) for k, v in enumerate(values)] + [(None, 0.5, 0.5, 0.5, 1)]
+    classes = spark.createDataFrame(rows, "class int, precision double, recall double, f1 double, support long")
+    got = {r["class"]: r.line for r in evaluation.report(classes).collect()}
+    assert got == {None: None} | {k: "%-16s %.3f  %.3f  %.3f  %d" % (c, p, r, f, n) for k, (c, p, r, f, n) in enumerate(rows[:-1])}
+    rows = spark.createDataFrame([(1, 1)] * 57 + [(0, 1)] * 743 + [(None, 2)], "gold int, predicted int")
+    got = {r["class"]: (r.precision, r.recall, r.f1) for r in evaluation.per_class(rows).collect()}
+    assert got[1][:2] == (0.0712, 1.0) and got[2] == (0.0, 0.0, 0.0)  # 57 / 800 is below 0.07125
